@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_encode
+from .media import media_columns
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def vocabulary() -> str:
+    """The installed vocabulary file, found anew on each machine."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(_read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary, public_tokenizers.PATTERN, keep_ids=False)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_read(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_read(spark, sf_dir, "documents", "doc_id", "text"), keep_media=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_bpe, op4_suffix_dedup, op5_media)}
 ORACLES: dict[str, str] = {}
