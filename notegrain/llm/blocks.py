@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 ASK = "bucket int, block int, trip int, n int, data binary"
 ANSWER = "block int, bucket int, trip int, n int, bits binary"
 _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("trip", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
@@ -24,9 +24,14 @@ _ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("trip", pa.
 
 
 def block_count(docs: DataFrame, text: str) -> int:
-    """Blocks for these documents: by bytes of text, and two for each shuffle partition at least."""
+    """Blocks for these documents: by bytes of text, and one for each shuffle partition at least."""
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+
+
+def bucket_count(blocks: int) -> int:
+    """Buckets that answer so many blocks; questions are an order smaller than texts, and each pair of block and bucket is a row."""
+    return max(1, -(-2 * blocks // 3))
 
 
 def in_blocks(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:

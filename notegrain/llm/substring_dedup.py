@@ -125,11 +125,12 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if not 1 <= period <= window:
         raise ValueError("period must lie between 1 and window")
     n = B.block_count(docs, text)
+    m = B.bucket_count(n)
     rows = B.in_blocks(docs, doc_id, text, n)
 
     def first(block: int, table: pa.Table) -> pa.Table:
         b = _Block(table, window, period)
-        return B.ask(b.keys, n, block, 1, lambda s: b.keys[s].astype(np.uint32).tobytes() + np.packbits(b.many[s]).tobytes())
+        return B.ask(b.keys, m, block, 1, lambda s: b.keys[s].astype(np.uint32).tobytes() + np.packbits(b.many[s]).tobytes())
 
     def shared(datas: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         keys = [np.frombuffer(x, np.uint32, k) for x, k in zip(datas, sizes, strict=True)]
@@ -143,7 +144,7 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def second(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Block(table, window, period)
         b.candidates(B.answered(answers, 1))
-        return B.ask(b.key1, n, block, 2, lambda s: b.key1[s].tobytes() + b.key2[s].tobytes() + b.least[s].tobytes())
+        return B.ask(b.key1, m, block, 2, lambda s: b.key1[s].tobytes() + b.key2[s].tobytes() + b.least[s].tobytes())
 
     def smaller(datas: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         parts = [np.frombuffer(x, np.uint64, 3 * k).reshape(3, k) for x, k in zip(datas, sizes, strict=True)]
