@@ -69,9 +69,9 @@ def longest_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HEADS = f"""noteslines AS (SELECT doc_seq, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i FROM notes),
-placed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_seq ORDER BY i) - length(line) - 1 AS at FROM noteslines),
-labels AS (SELECT doc_seq, at, regexp_extract(line, '^[ \\t]*([A-Za-z][A-Za-z0-9 /&()'',.-]{{0,48}}?)[ \\t]*:', 1) label, regexp_extract(line, '^[^:]*:(.*)$', 1) rest FROM placed WHERE contains(line, ':')),
-heads AS (SELECT doc_seq, CAST(at AS INTEGER) AS start, CAST(at + length(label) AS INTEGER) AS "end" FROM labels WHERE label <> '' AND len(string_split(label, ' ')) <= 4
+placed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_seq ORDER BY i) - length(line) - 1 AS pos FROM noteslines),
+labels AS (SELECT doc_seq, pos, regexp_extract(line, '^[ \\t]*([A-Za-z][A-Za-z0-9 /&()'',.-]{{0,48}}?)[ \\t]*:', 1) label, regexp_extract(line, '^[^:]*:(.*)$', 1) rest FROM placed WHERE contains(line, ':')),
+heads AS (SELECT doc_seq, CAST(pos AS INTEGER) AS start, CAST(pos + length(label) AS INTEGER) AS "end" FROM labels WHERE label <> '' AND len(string_split(label, ' ')) <= 4
   AND (trim(rest) = '' OR upper(label) = label OR lower(label) IN {spans.SECTION_LABELS!r}) AND NOT regexp_matches(label, '(^| )[a-z]'))"""
 
 
