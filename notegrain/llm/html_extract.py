@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes template svg math select".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr acronym".split())
+#: Blocks that hold reading matter wherever they stand.
+READING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: Start tags that end an open element of the second group, if no element of the third lies between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -220,9 +222,18 @@ def _content(root: Node) -> Node:
         while id(up) not in place:
             up = up.parent
         deepest = max(deepest, place[id(up)])
+    # text and reading blocks beside the subtree belong to it
+    while deepest + 1 < len(path) and any(_reads(c) for c in path[deepest + 1].children if c is not path[deepest]):
+        deepest += 1
     return path[deepest]
 
 
+def _reads(child: Node | str) -> bool:
+    if isinstance(child, str):
+        return bool(child.strip())
+    return child.tag in READING and not child.noise and child.chars > 2 * child.link_chars
+
+
 def _noisy(node: Node, body: Node) -> bool:
     up = node
     while up is not None and up is not body:
