@@ -12,6 +12,7 @@ from .langid import identify, learn
 from .media import media_columns
 from .minhash import near_duplicates
 from .mixing import mix
+from .oracles import ORACLES as ORACLES
 from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -74,4 +75,3 @@ QUERIES = {
         op6_language_id, op7_source_mix, op8_near_duplicates, op9_html_text, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {"op2_secret_scan": secrets.oracle_sql()}
