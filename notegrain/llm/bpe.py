@@ -256,7 +256,7 @@ def _chunk_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Batch:
     """The ids of many texts: each distinct chunk is split and each distinct pre-token encoded once."""
 
-    def __init__(self, encoder: Encoder, buf: np.ndarray, offsets: np.ndarray, lay: int = 4_000_000):
+    def __init__(self, encoder: Encoder, buf: np.ndarray, offsets: np.ndarray, lay: int = 2_000_000):
         group = offsets[1:] // lay  # hashes are laid out for so many bytes at once
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
         starts, hashes = [], []
@@ -330,7 +330,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rows)
 
 
-def bpe_encode(docs: DataFrame, path: Callable[[], str], pattern: str, *, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True, batch_bytes: int = 32_000_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: Callable[[], str], pattern: str, *, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True, batch_bytes: int = 10_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids. path() gives the vocabulary's place on any machine."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,7 +199,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["id"], r["text"]))], order, slack)
 
 
-def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), batch_bytes: int = 8_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), batch_bytes: int = 2_500_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy and accepted, and the columns to keep, for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
