@@ -7,10 +7,10 @@ max(n, t log t) hashes rather than n t, and their agreement concentrates about t
 independent ones.
 
 *Candidates.*  Texts with equal word sequences are one class first, so groups of exact copies cost one
-aggregation.  Class representatives that share a band of ``rows`` coordinates are candidates.  In each
-shared band every member is verified against the band's smallest member (a star: as many links as
-members, never all pairs), on the full shingle sets.  Components of these links leave few bands whose
-members aren't yet connected; there, members of different components are compared by their sketches,
+aggregation.  Class representatives that share a band of ``rows`` coordinates are candidates.  Every member
+of a band is verified, on the full shingle sets, against the band's hub, its member with the most shared bands: first only the
+best hub of all its bands (one pair for each document, never all pairs), then, where that didn't connect them, those of its
+other bands.  This leaves few bands whose members aren't yet connected; there, members of different components are compared by their sketches,
 in blocks of bounded size, and the likely pairs are verified on the full sets too.  So every pair that
 shares a band is connected, rejected by a sketch that differs from it by over 0.2, or verified.
 
@@ -37,7 +37,7 @@ from .storage import written
 SIGNED = "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>, sketch binary"
 _EMPTY = np.uint64(2**64 - 1)
 #: Members of one block of a band's comparison.
-_CHUNK = 1000
+_CHUNK = 400
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,10 +192,26 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     reps = own.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "c1", "c2"], "left_semi")
     members = written(reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")), "bands")
     shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = written(members.join(shared, "band").select("band", "node", "least"), "members")
-    stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    members = written(members.join(shared.select("band"), "band").select("band", "node"), "members")
+    # a band's hub is its member with the most shared bands: the original of a family of edited copies shares a band
+    # with each of them, while two copies may differ too much
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = members.join(degree, "node")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("hub"))).alias("h")).select("band", F.col("h.degree").alias("hub_degree"), (-F.col("h.hub")).alias("hub"))
+    near = written(members.join(hubs, "band").where("node <> hub").select("node", "hub", "hub_degree").distinct(), "hubs")
+    pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    best = near.groupBy("node").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("hub"))).alias("h")).select("node", (-F.col("h.hub")).alias("hub"))
+    stars = written(best.select(*pair).distinct(), "stars")
     links = written(_verify(stars, docs, words, percent), "verified")
     found = components(links)
+    # members that their best hub didn't connect try the hubs of all their bands
+    named = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+    apart = near.join(named("node"), "node", "left").join(named("hub"), "hub", "left").where(F.coalesce("node_component", "node") != F.coalesce("hub_component", "hub"))
+    second = written(apart.select(*pair).distinct().join(stars, ["a", "b"], "left_anti"), "stars")
+    tested = stars
+    if not second.isEmpty():
+        tested = stars.unionByName(second)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verify(second, docs, words, percent)))
 
     label = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     label = written(label, "labels")
@@ -205,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("band", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "node", "component", "sketch", "n_shingles", "half")
     likely = percent / 100 - 0.2
     more = dealt.groupBy("band", "low", "high").applyInArrow(lambda key, t: _compare(key, t, likely, percent), "a bigint, b bigint").distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "likely")
+    more = written(more.join(tested, ["a", "b"], "left_anti"), "likely")
     if not more.isEmpty():
         extra = _verify(more, docs, words, percent)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
