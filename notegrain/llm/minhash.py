@@ -25,7 +25,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,8 +156,8 @@ def components(links: DataFrame) -> DataFrame:
         mark = seen
 
 
-def _compare(key: tuple, table: pa.Table, likely: float, percent: int) -> pa.Table:
-    """Likely pairs between components, from two blocks of a band's members (or one with itself)."""
+def _compare(key: tuple, table: pa.Table, likely: float, percent: int, best: bool = False) -> pa.Table:
+    """Likely pairs between components, from two blocks of a band's members (or one with itself); best: only the likeliest of each member."""
     t = table.to_pydict()
     s = np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(len(t["node"]), -1)
     node, part, n, half = (np.array(t[k]) for k in ("node", "component", "n_shingles", "half"))
@@ -167,13 +167,29 @@ def _compare(key: tuple, table: pa.Table, likely: float, percent: int) -> pa.Tab
     for i in left:
         r = right if low != high else right[node[right] > node[i]]
         r = r[(part[r] != part[i]) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
-        r = r[(s[r] == s[i]).mean(axis=1) >= likely] if len(r) else r
+        agree = (s[r] == s[i]).mean(axis=1) if len(r) else np.zeros(0)
+        r, agree = r[agree >= likely], agree[agree >= likely]
+        r = r[[agree.argmax()]] if best and len(r) else r
         a.append(np.minimum(node[r], node[i]))
         b.append(np.maximum(node[r], node[i]))
     empty = np.zeros(0, np.int64)
     return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
 
+def _comparing(likely: float, percent: int, best: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+    return lambda key, table: _compare(key, table, likely, percent, best)
+
+
+def _likely(members: DataFrame, found: DataFrame, facts: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Likely pairs (a, b) between members of a band that are in different components."""
+    label = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    label = written(label, "labels")
+    open_bands = label.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y").select("band", F.ceil(F.col("size") / _CHUNK).cast("int").alias("chunks"))
+    left = label.join(open_bands, "band").join(facts, "node").select("band", "node", "component", "sketch", "n_shingles", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("half"))
+    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("band", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "node", "component", "sketch", "n_shingles", "half")
+    return dealt.groupBy("band", "low", "high").applyInArrow(_comparing(percent / 100 - 0.2, percent, best), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, bands: int = 48, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (it is the document's own)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -213,18 +229,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         tested = stars.unionByName(second)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verify(second, docs, words, percent)))
 
-    label = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    label = written(label, "labels")
-    open_bands = label.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y").select("band", F.ceil(F.col("size") / _CHUNK).cast("int").alias("chunks"))
+    # as in Boruvka's algorithm, first each member's likeliest partner in another component; then all that are left
     facts = own.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
-    left = label.join(open_bands, "band").join(facts, "node").select("band", "node", "component", "sketch", "n_shingles", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("half"))
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("band", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "node", "component", "sketch", "n_shingles", "half")
-    likely = percent / 100 - 0.2
-    more = dealt.groupBy("band", "low", "high").applyInArrow(lambda key, t: _compare(key, t, likely, percent), "a bigint, b bigint").distinct()
-    more = written(more.join(tested, ["a", "b"], "left_anti"), "likely")
-    if not more.isEmpty():
-        extra = _verify(more, docs, words, percent)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra))
+    for best in (True, True, False):
+        more = written(_likely(members, found, facts, percent, best).join(tested, ["a", "b"], "left_anti"), "likely")
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verify(more, docs, words, percent)))
 
     named = classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
     linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", "component_id")
