@@ -7,9 +7,9 @@ a running sum over the sources.
 A document then gets the whole part of target / size copies, and its fraction is rounded dependently:
 two fractional documents of a source meet, and mass (words) moves from one to the other, up or down with the probabilities that
 keep both expectations, until one is a whole copy or none.  The words of a source never change until its very last
-document is rounded, to the nearer side; what that misses is settled among the documents of the tree's root.  Large documents meet
-first, so that the last one tends to be small.  Documents meet in leaves; each leaf passes its one undecided document up a tree of
-arity ``arity``, so no task sees a whole source.  All draws are hashes of
+document is rounded, to the nearer side; what that misses is settled among all documents of the source: largest first, they change
+sides where that lowers the miss.  Only their counts by size meet in one task.  Large documents are rounded first.  Documents meet
+in leaves; each leaf passes its one undecided document up a tree of arity ``arity``, so no task sees a whole source.  All draws are hashes of
 ids and of the seed: reruns agree.
 
 Defined results: null text and text of white space have size 0, get no words, and decide nothing; a null source is one source, the
@@ -81,17 +81,35 @@ def pivot(p: np.ndarray, mass: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray
     return np.array(p), held
 
 
-def settle(p: np.ndarray, mass: np.ndarray, held: int) -> np.ndarray:
-    """Round the last document to the nearer side, and flip smaller ones where that lowers what is missed."""
-    p = p.copy()
-    up = p[held] >= 0.5
-    miss = float((1 - p[held]) * mass[held] if up else -p[held] * mass[held])  # words beyond the target
-    p[held] = float(up)
-    for i in np.argsort(-mass, kind="stable").tolist():
-        if i != held and mass[i] > 0 and p[i] == (miss > 0) and abs(abs(miss) - mass[i]) < abs(miss):
-            miss += -mass[i] if miss > 0 else mass[i]
-            p[i] = 1 - p[i]
-    return p
+def settle(size: np.ndarray, one: np.ndarray, documents: np.ndarray, miss: float) -> np.ndarray:
+    """How many documents of each size and side (taken or not) change sides, largest first, where that lowers what is missed."""
+    flips = np.zeros(len(size), np.int64)
+    for i in np.argsort(-size, kind="stable").tolist():
+        if one[i] == (miss > 0):  # words beyond the target
+            flips[i] = max(0, min(int(documents[i]), int(np.ceil(abs(miss) / size[i] - 0.5))))
+            miss -= float(flips[i] * size[i]) * (1 if one[i] else -1)
+    return flips
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    flips = settle(table["size"].to_numpy(), table["one"].to_numpy(), table["documents"].to_numpy(), table["miss"][0].as_py())
+    return table.select(["source", "one", "size"]).append_column("flips", pa.array(flips)).filter(pa.array(flips > 0))
+
+
+def _settled(rounded: DataFrame, seed: int) -> DataFrame:
+    """The rounded documents, as many on the other side as settle() wants: the first by a hash, in each partition and then of these."""
+    rounded = rounded.select("*", (F.col("copies") > F.col("base")).alias("one"), F.spark_partition_id().alias("part"))
+    missed = written(rounded.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("miss")).select(F.col("source").alias("of"), "miss"), "missed")
+    sizes = rounded.join(missed, rounded["source"].eqNullSafe(missed["of"])).where("size < 2 * abs(miss)").groupBy("source", "one", "size").agg(F.count("*").alias("documents"), F.first("miss").alias("miss"))
+    flips = written(sizes.groupBy("source").applyInArrow(_settle, "source string, one boolean, size bigint, flips bigint"), "flips")
+    flips = flips.select(*(F.col(c).alias(f"{c}_f") for c in ("source", "one", "size")), "flips")
+    tagged = rounded.join(flips, rounded["source"].eqNullSafe(flips["source_f"]) & (rounded["one"] == flips["one_f"]) & (rounded["size"] == flips["size_f"]), "left")
+    order = (F.xxhash64("doc_id", "mark", F.lit(seed)), "doc_id", "mark")
+    ranked = written(tagged.where("flips is not null").withColumn("place", F.row_number().over(Window.partitionBy("source", "one", "size", "part").orderBy(*order))), "ranked")
+    first = ranked.where("place <= flips").withColumn("place", F.row_number().over(Window.partitionBy("source", "one", "size").orderBy(*order)))
+    first = first.withColumn("copies", F.col("copies") + F.when(F.col("place") > F.col("flips"), 0).when(F.col("one"), -1).otherwise(1))
+    columns = [c.split()[0] for c in _STATE.split(", ")]
+    return tagged.where("flips is null").select(columns).unionByName(ranked.where("place > flips").select(columns)).unionByName(first.select(columns))
 
 
 def _round(table: pa.Table, seed: int, level: int, last: bool) -> pa.Table:
@@ -100,7 +118,7 @@ def _round(table: pa.Table, seed: int, level: int, last: bool) -> pa.Table:
     draw = T.mix(key + T.mix(np.arange(len(key), dtype=np.uint64), level), seed).astype(np.float64) / 2.0**64
     p, held = pivot(table["p"].to_numpy(), table["size"].to_numpy(), draw)
     if last and held >= 0:
-        p, held = settle(p, table["size"].to_numpy(), held), -1
+        p[held], held = float(p[held] >= 0.5), -1
     copies = [None if k == held else int(round(x)) for k, x in enumerate(p)]
     base = table["base"].to_numpy()
     table = table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
@@ -120,19 +138,19 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     state = sizes.join(goal, sizes["source"].eqNullSafe(goal["of"])).withColumn("leaf", F.pmod(F.xxhash64("doc_id", "mark", "size"), F.col("leaves")))
     state = state.withColumn("copies", F.when((F.col("size") == 0) | (F.col("p") == 0), F.col("base"))).selectExpr(*(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in _STATE.split(", ")))
     leaves = goal.agg(F.max("leaves")).first()[0] or 1
-    level, decided = 0, [state.where("copies is not null")]
+    whole, rounded = state.where("copies is not null"), None
+    level = 0
     state = state.where("copies is null")
     while True:
         last = leaves <= 1
         state = written(state.groupBy("source", "leaf").applyInArrow(_rounding(seed, level, last), _STATE), "mix")
-        decided.append(state.where("copies is not null"))
+        decided = state.where("copies is not null")
+        rounded = decided if rounded is None else rounded.unionByName(decided)
         if last:
             break
         state = state.where("copies is null").withColumn("leaf", F.expr(f"leaf div {arity}"))
         leaves, level = -(-leaves // arity), level + 1
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
+    out = whole.unionByName(_settled(rounded, seed))
     return out.select("doc_id", "mark", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -181,6 +181,19 @@ def test_pivot_keeps_words_and_settles_one():
     assert abs(hits - 0.3).max() < 0.05
 
 
+def test_mix_settles_alike_in_one_leaf_and_in_many(spark):
+    """A source's long document is its last; what its rounding misses goes to any documents, whatever other sources hold."""
+    rows = [(k, "w " * 10, "a") for k in range(300)] + [(1000 + k, "w " * 10, "b") for k in range(40)] + [(2000, "w " * 2001, "a"), (2001, "w " * 301, "b"), (2002, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for leaf, arity in ((1000, 64), (50, 2), (100, 2), (7, 3)):
+        taken, target = Counter(), {}
+        for r in mixing.mix(docs, leaf=leaf, arity=arity, weights=(3, 1)).collect():
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
+        assert all(abs(taken[s] - target[s]) <= 5 for s in target), (leaf, taken, target)
+
+
 HEAD = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body>"
 
 
