@@ -48,6 +48,8 @@ NOISE_WORDS = frozenset(
     "sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar comment comments commentlist disqus respond replies related recommended "
     "recommendations share sharing social widget widgets login search pagination pager toolbar skip toc".split()
 )
+#: Of these, names of headers.
+HEADER_WORDS = frozenset("header masthead banner topbar".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
@@ -151,22 +153,79 @@ def _measure(node: Node, in_link: bool, order: list[Node]) -> None:
 def _mark_noise(root: Node) -> None:
     order: list[Node] = []
     _measure(root, False, order)
-    whole = max(1, root.chars)
+    named: dict[int, bool] = {}  # blocks marked by name, role or header tag, and whether as a header
     for n in order:
         if n.tag in NOISE_TAGS:
             n.noise = True
             continue
         if n.tag in ("html", "body", "article", "main", "#root"):
             continue
-        words, role, hidden = _facts(n.attributes) if n.attributes else (set(), "", False)
-        if n.tag == "header" or hidden or role in NOISE_ROLES or words & NOISE_WORDS:
-            # a wrapper named after one of its parts isn't noise; an article's own header keeps its heading
-            n.noise = hidden or n.chars <= 0.5 * whole and not any(isinstance(c, Node) and c.tag in ("article", "main") for c in n.children)
-            if n.noise and n.tag == "header" and not hidden and _inside(n, ("article", "main")):
-                n.noise = False
-                n.children = [c for c in n.children if isinstance(c, Node) and c.tag in ("h1", "h2", "hgroup")]
+        words, role, unseen = _facts(n.attributes) if n.attributes else (set(), "", False)
+        if unseen:
+            n.noise = True
+        elif n.tag == "header" or role in NOISE_ROLES or words & NOISE_WORDS:
+            named[id(n)] = n.tag == "header" or role == "banner" or bool(words & HEADER_WORDS)
         elif n.tag in ("ul", "ol", "div", "section", "table") and n.link_tags >= 3 and n.link_chars >= 0.8 * max(1, n.chars):
             n.noise = True  # a menu under another name
+    wraps = _wrappers(order, named) if named else set()
+    for n in order:
+        if id(n) in named and id(n) not in wraps:
+            n.noise = True
+            if n.tag == "header" and _inside(n, ("article", "main")):  # an article's own header keeps its heading
+                n.noise = False
+                n.children = [c for c in n.children if isinstance(c, Node) and c.tag in ("h1", "h2", "hgroup")]
+
+
+def _wrappers(order: list[Node], named: dict[int, bool]) -> set[int]:
+    """Named blocks that hold the article itself, by structure alone: its element, or its heading with reading blocks, is in no unnamed place."""
+    around: dict[int, list[int]] = {}
+    for n in order:
+        if n.chars > 2 * n.link_chars and n.tag in ("article", "main", "p", "blockquote", "pre", "h1", "h2", "h3") and (up := _named_around(n, named)) is not None:
+            around[id(n)] = up
+    kept = [n for n in order if id(n) in around]
+    homes, reads, h1 = ([n for n in kept if n.tag in tags] for tags in (("article", "main"), ("p", "blockquote", "pre"), ("h1",)))
+    clean = [n for n in homes if not around[id(n)]]
+    if any(n.tag == "article" for n in clean):
+        return set()
+    titled = {id(home) for n in h1 if (home := _inside(n, ("article",)) or _inside(n, ("main",)))}
+    bare = _bare(order[-1], named)
+    if homes:
+        lost = [n for n in homes if around[id(n)] and (id(n) in titled or not clean or not any(_bare(m, named) for m in clean))]
+        best = max(lost, key=lambda n: (id(n) in titled, n.tag == ("article" if id(n) in titled else "main"), n.chars), default=None)
+        return set(around[id(best)]) if best is not None else set()
+    if any(not around[id(n)] for n in h1):
+        return set()
+    held = [set(around[id(n)]) for n in reads]
+    for n in h1 or ([] if bare else [x for x in kept if x.tag in ("h2", "h3")]):
+        about = set(around[id(n)])
+        if any(x and x <= about for x in held) and not (any(named[k] for k in about) and not all(held)):
+            return about
+    return set() if bare or not held else min(held, key=len)
+
+
+def _bare(top: Node, named: dict[int, bool]) -> bool:
+    """Is there text outside links, noise and named blocks?"""
+    stack: list = [top]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            if n.strip():
+                return True
+        elif not n.noise and id(n) not in named and n.tag != "a":
+            stack.extend(n.children)
+    return False
+
+
+def _named_around(node: Node, named: dict[int, bool]) -> list[int] | None:
+    """The named blocks about a node; None in noise."""
+    found, up = [], node
+    while up is not None:
+        if up.noise:
+            return None
+        if id(up) in named:
+            found.append(id(up))
+        up = up.parent
+    return found
 
 
 def _inside(node: Node, tags: tuple[str, ...]) -> Node | None:

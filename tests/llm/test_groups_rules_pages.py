@@ -210,6 +210,26 @@ def test_main_text(page, want):
     assert pages.main_text(page) == want
 
 
+LONG = "I disagree with every word of it. " * 40
+STORY = "<h1>Title</h1><p>A short story.</p><p>It ends here.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article>{STORY}</article><section class='comments'><p>{LONG}</p></section>", "Title A short story. It ends here."),
+        (f"<div id=content>{STORY}</div><div id='sidebar'><p>{LONG}</p></div>", "Title A short story. It ends here."),
+        (f"<main>{STORY}</main><div role=alert><p>{LONG}</p></div><div class=advert><p>{LONG}</p></div>", "Title A short story. It ends here."),
+        (f"<article>{STORY}</article><ol class='comment-list'><li><article><p>{LONG}</p></article></li></ol>", "Title A short story. It ends here."),
+        # wrappers hold the article, whatever they are named
+        (f"<div class='layout sidebar-left'><div><article>{STORY}</article></div><div class='comments'><p>{LONG}</p></div></div>", "Title A short story. It ends here."),
+        (f"<div class='has-sidebar'>{STORY}<div class='comments'><p>{LONG}</p></div></div><div>Imprint</div>", "Title A short story. It ends here."),
+    ],
+)
+def test_noise_is_dropped_at_any_length(page, want):
+    assert pages.main_text(f"<html><body>{page}</body></html>") == want
+
+
 def test_pages_in_spark(spark):
     df = spark.createDataFrame([(1, "u", "<p>é𝄞</p>", "clash"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in pages.extract_text(df).collect()) == [(1, "u", "é𝄞", 2), (2, None, "", 0)]
