@@ -48,8 +48,16 @@ NOISE_WORDS = frozenset(
     "sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar comment comments commentlist disqus respond replies related recommended "
     "recommendations share sharing social widget widgets login search pagination pager toolbar skip toc".split()
 )
-#: Of these, names of headers.
+#: Of these, names of headers, and words that headings have too.
 HEADER_WORDS = frozenset("header masthead banner topbar".split())
+COMMON_WORDS = HEADER_WORDS | frozenset("related recommended recommendations search social notice notices promo promotion navigation rail share sharing skip menu menus login consent overlay subscription widget toc".split())
+#: Words that names of page parts add to these; a name with any other word may be that of a passage.
+PART_WORDS = frozenset(
+    "list lists box block area section wrapper wrap container inner outer bar main site page post posts article articles entry content link links button buttons btn icon icons top bottom left right primary secondary "
+    "global user reader readers thread form title item items col column panel group row slot unit region module policy message text body number count meta header footer story stories news more js wp is has mobile desktop".split()
+)
+#: Blocks that are dropped by their names alone, wherever they stand.
+CONTAINERS = frozenset("div section ul ol dl table header details center dir menu".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
@@ -110,17 +118,18 @@ def tree(page: str) -> Node:
     return root
 
 
-def _facts(attributes: str) -> tuple[set[str], str, bool]:
-    words, role, hidden = set(), "", False
+def _facts(attributes: str) -> tuple[list[tuple[str, set[str]]], str, bool]:
+    """Words of each class and id, role, and whether it is hidden."""
+    names, role, hidden = [], "", False
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
         name, value = (bare or name).lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            words.update(_WORDS.findall(value))
+            names.extend((name, set(_WORDS.findall(x))) for x in value.split())
         elif name == "role":
             role = value.strip()
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
-    return words, role, hidden
+    return names, role, hidden
 
 
 def _squeezed(text: str) -> int:
@@ -160,11 +169,11 @@ def _mark_noise(root: Node) -> None:
             continue
         if n.tag in ("html", "body", "article", "main", "#root"):
             continue
-        words, role, unseen = _facts(n.attributes) if n.attributes else (set(), "", False)
+        names, role, unseen = _facts(n.attributes) if n.attributes else ([], "", False)
         if unseen:
             n.noise = True
-        elif n.tag == "header" or role in NOISE_ROLES or words & NOISE_WORDS:
-            named[id(n)] = n.tag == "header" or role == "banner" or bool(words & HEADER_WORDS)
+        elif n.tag == "header" or role in NOISE_ROLES or any(words & NOISE_WORDS and _says_noise(n, kind, words) for kind, words in names):
+            named[id(n)] = n.tag == "header" or role == "banner" or any(words & HEADER_WORDS for _, words in names)
         elif n.tag in ("ul", "ol", "div", "section", "table") and n.link_tags >= 3 and n.link_chars >= 0.8 * max(1, n.chars):
             n.noise = True  # a menu under another name
     wraps = _wrappers(order, named) if named else set()
@@ -176,6 +185,34 @@ def _mark_noise(root: Node) -> None:
                 n.children = [c for c in n.children if isinstance(c, Node) and c.tag in ("h1", "h2", "hgroup")]
 
 
+def _says_noise(n: Node, kind: str, words: set[str]) -> bool:
+    """Is a block with this class or id no reading matter? A heading always is; in an article, so are paragraphs and passages that aren't mostly links."""
+    if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"):
+        return False
+    home = _inside(n, ("article", "main"))
+    if home is not None and n.tag not in CONTAINERS:
+        return False
+    found = words & NOISE_WORDS
+    if found <= HEADER_WORDS and (home is not None or words & {"page", "entry", "post", "article", "content", "story", "title"}) and _titled(n):
+        return False
+    passage = bool(words - NOISE_WORDS - PART_WORDS)
+    if home is not None:
+        passage = passage or kind == "id" and found <= COMMON_WORDS and words == found
+    else:
+        passage = passage and kind == "id" and found <= COMMON_WORDS
+    return not passage or 3 * n.link_chars >= max(1, n.chars)
+
+
+def _titled(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if n.tag in ("h1", "h2", "hgroup") and n.chars:
+            return True
+        stack.extend(c for c in n.children if isinstance(c, Node) and not c.noise)
+    return False
+
+
 def _wrappers(order: list[Node], named: dict[int, bool]) -> set[int]:
     """Named blocks that hold the article itself, by structure alone: its element, or its heading with reading blocks, is in no unnamed place."""
     around: dict[int, list[int]] = {}

@@ -230,6 +230,21 @@ def test_noise_is_dropped_at_any_length(page, want):
     assert pages.main_text(f"<html><body>{page}</body></html>") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><h1 class='page-header'>T</h1><p>One.</p><h2 id='related-work'>Related work</h2><p class='notice'>Two.</p><section id='social-history'><h2>Social history</h2><p>Three.</p></section><p>Four <span class='search'>five</span>.</p></article>", "T One. Related work Two. Social history Three. Four five."),
+        ("<article><div class='entry-header'><h1>T</h1></div><p>One two three four.</p></article>", "T One two three four."),
+        ("<main><section id='search'><h2>Search</h2><p>We searched.</p></section><table class='promotion-rates'><tr><td>7</table><p>End of it all.</p></main>", "Search We searched. 7 End of it all."),
+        ("<div id=content><h1 class='header'>T</h1><p>One two three.</p><section id='social-history'><p>Four five six.</p></section></div>", "T One two three. Four five six."),
+        # page parts go, in an article too
+        ("<main><article><h1>T</h1><p>One two.</p><div class='social-share'><p>Tell all</p></div><ul class='toc'><li>x</li></ul><div class='cookie-notice'><p>We</p></div></article><section id='comments'><p>No.</p></section></main>", "T One two."),
+    ],
+)
+def test_element_names_that_only_look_like_noise(page, want):
+    assert pages.main_text(f"<html><body>{page}</body></html>") == want
+
+
 def test_pages_in_spark(spark):
     df = spark.createDataFrame([(1, "u", "<p>é𝄞</p>", "clash"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in pages.extract_text(df).collect()) == [(1, "u", "é𝄞", 2), (2, None, "", 0)]
