@@ -5,7 +5,7 @@ its composite density: characters per tag, times a logarithm that falls as chara
 belong to links, to a base that grows with the page's own share of links.  The node with the largest sum of its
 children's densities holds the article; the least density on the path from the body to it is the
 threshold above which other nodes count too.  The text is that of the smallest subtree that holds all
-of these (the enclosing ``article`` or ``main`` if there is one), without what isn't reading matter by its tag, role or
+of these (widened to the enclosing ``article`` or ``main`` if there is one, and to articles beside it), without what isn't reading matter by its tag, role or
 class: menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles.
 
 Defined results: null or empty html, and pages without text, give the empty string; html cut off in
@@ -176,6 +176,11 @@ def _mark_noise(root: Node) -> None:
             named[id(n)] = n.tag == "header" or role == "banner" or any(words & HEADER_WORDS for _, words in names)
         elif n.tag in ("ul", "ol", "div", "section", "table") and n.link_tags >= 3 and n.link_chars >= 0.8 * max(1, n.chars):
             n.noise = True  # a menu under another name
+    articles = [n for n in order if n.tag == "article"]
+    replies = [n for n in articles if n.attributes and not _titled(n) and any(words & NOISE_WORDS - COMMON_WORDS and words <= NOISE_WORDS | PART_WORDS - {"has", "is"} for _, words in _facts(n.attributes)[0])]
+    if len(replies) < len(articles):  # comments that are articles themselves
+        for n in replies:
+            n.noise = True
     wraps = _wrappers(order, named) if named else set()
     for n in order:
         if id(n) in named and id(n) not in wraps:
@@ -302,8 +307,6 @@ def _content(root: Node) -> Node:
     best = max(alive, key=lambda n: (n.total, n.density))
     if best.total == 0:
         best = max(alive, key=lambda n: n.chars)
-    if (home := _inside(best, ("article",)) or _inside(best, ("main",))) is not None:
-        return home
     threshold, up = best.density, best
     while up is not body and up.parent is not None:
         up = up.parent
@@ -318,6 +321,12 @@ def _content(root: Node) -> Node:
         while id(up) not in place:
             up = up.parent
         deepest = max(deepest, place[id(up)])
+    if (home := _inside(path[deepest], ("article",)) or _inside(path[deepest], ("main",))) is not None:
+        deepest = max(deepest, place.get(id(home), deepest))
+        # articles beside an article belong to the same text
+        while path[deepest].tag == "article" and deepest + 1 < len(path) and any(_article(c) for c in path[deepest + 1].children if c is not path[deepest]):
+            deepest += 1
+        return path[deepest]
     # text and reading blocks beside the subtree belong to it
     while deepest + 1 < len(path) and any(_reads(c) for c in path[deepest + 1].children if c is not path[deepest]):
         deepest += 1
@@ -330,6 +339,10 @@ def _reads(child: Node | str) -> bool:
     return child.tag in READING and not child.noise and child.chars > 2 * child.link_chars
 
 
+def _article(child: Node | str) -> bool:
+    return isinstance(child, Node) and child.tag == "article" and not child.noise and child.chars > 2 * child.link_chars
+
+
 def _noisy(node: Node, body: Node) -> bool:
     up = node
     while up is not None and up is not body:

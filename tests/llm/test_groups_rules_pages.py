@@ -245,6 +245,19 @@ def test_element_names_that_only_look_like_noise(page, want):
     assert pages.main_text(f"<html><body>{page}</body></html>") == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<main><article><h2>A</h2><p>" + "First part. " * 30 + "</p></article><article><h2>B</h2><p>" + "Second part. " * 9 + "</p></article></main>", "A " + "First part. " * 30 + "B " + "Second part. " * 9),
+        ("<main><article><p>" + "First part. " * 30 + "</p></article><article class='comment'><p>No.</p></article></main>", "First part. " * 30),
+        ("<nav><a href=/>x</a></nav><article><p>" + "First part. " * 30 + "</p></article><article><p>Short.</p></article><footer>f</footer>", "First part. " * 30 + "Short."),
+        ("<main><section><article><p>" + "First part. " * 9 + "</p></article></section><section><article><p>" + "Second part. " * 9 + "</p></article></section></main>", "First part. " * 9 + "Second part. " * 9),
+    ],
+)
+def test_sibling_articles_are_one_text(page, want):
+    assert pages.main_text(f"<html><body>{page}</body></html>") == want.strip()
+
+
 def test_pages_in_spark(spark):
     df = spark.createDataFrame([(1, "u", "<p>é𝄞</p>", "clash"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in pages.extract_text(df).collect()) == [(1, "u", "é𝄞", 2), (2, None, "", 0)]
