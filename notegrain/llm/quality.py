@@ -5,8 +5,8 @@ about ``sample`` of them) every rule is run by itself, which gives its cost (sec
 (share rejected); the cascade tries rules by rejection per cost, highest first, as one CASE, whose branches after the first
 that holds aren't evaluated.  A verdict is the same in any order; only the time isn't.
 
-Repeated words need no explode and no shuffle: each 3-word window of a text becomes one integer, its hash in
-the high bits and its place in the low ones; after one sort of the integers, equal windows are neighbours.
+Repeated words need no explode and no shuffle: each 3-word window of a text becomes its hash of 64 bits and its
+place; after one sort of these pairs, equal windows are neighbours.
 
 Defined results: null text has no words and fails the base rule; an empty table gives no rows; other columns are
 ignored, whatever their names.
@@ -63,23 +63,21 @@ def measured(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
         (F.char_length(F.translate(whole, _SPACES, ""))).cast("long").alias("word_chars"),
         (F.char_length(whole) - F.char_length(F.translate(whole, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        F.when(n > 3, F.ceil(F.log2(n.cast("double"))).cast("int") + 1).otherwise(2).alias("bits"),
     )
     window = F.transform(
         F.sequence(F.lit(1), F.greatest(F.col("n_words") - 2, F.lit(1)).cast("int")),
-        lambda i: F.call_function("shiftleft", F.xxhash64(F.try_element_at("words", i), F.try_element_at("words", i + 1), F.try_element_at("words", i + 2)), F.col("bits")).bitwiseOR(i.cast("long")),
+        lambda i: F.struct(F.xxhash64(F.try_element_at("words", i), F.try_element_at("words", i + 1), F.try_element_at("words", i + 2)).alias("hash"), i.cast("long").alias("place")),
     )
     step = step.select(
-        "doc_id", "text", "n_words", "word_chars", "n_symbols", "bits", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", "text", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("n_words") > 3, F.sort_array(window)).otherwise(F.array().cast("array<bigint>")).alias("sorted"),
+        F.when(F.col("n_words") > 3, F.sort_array(window)).otherwise(F.array().cast("array<struct<hash:bigint,place:bigint>>")).alias("sorted"),
     )
-    high = "shiftright({}, bits)"
     step = step.selectExpr(
-        "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "bits",
-        f"filter(sorted, (x, i) -> (i > 0 and {high.format('x')} = {high.format('sorted[i - 1]')}) or (i < size(sorted) - 1 and {high.format('x')} = {high.format('sorted[i + 1]')})) twice",
+        "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+        "filter(sorted, (x, i) -> (i > 0 and x.hash = sorted[i - 1].hash) or (i < size(sorted) - 1 and x.hash = sorted[i + 1].hash)) twice",
     )
-    step = step.selectExpr("*", "sort_array(transform(twice, x -> x & (shiftleft(1L, bits) - 1))) at").drop("twice", "bits")
+    step = step.selectExpr("*", "sort_array(transform(twice, x -> x.place)) at").drop("twice")
     # a window at place p covers three words, less what the window before it covers
     covered = "aggregate(at, named_struct('n', 0L, 'last', -10L), (a, p) -> named_struct('n', a.n + least(3L, p - a.last), 'last', p), a -> a.n)"
     return step.selectExpr("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", f"{covered} n_repeat_words")

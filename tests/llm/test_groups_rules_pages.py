@@ -290,6 +290,13 @@ def test_quality(spark, corpus):
     assert quality.quality(docs.where("false")).count() == 0
 
 
+def test_windows_of_a_long_text_are_told_apart(spark):
+    """The hashes of two of its windows agree in their 42 low bits."""
+    many = 1_200_000
+    docs = spark.createDataFrame([(1, "x212669 y z " + "a " * many + "x2282671 y z")], "doc_id long, text string")
+    assert [(r.n_words, r.n_repeat_words) for r in quality.measured(docs).collect()] == [(many + 6, many)]
+
+
 def test_rule_order_is_rejection_per_cost(spark):
     rows = spark.range(100).withColumnRenamed("id", "x").cache()
     rules = [quality.Rule("none", "x < 0"), quality.Rule("most", "x < 90"), quality.Rule("few", "x < 2")]
