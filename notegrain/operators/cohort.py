@@ -99,8 +99,8 @@ def note_summary(mentions: DataFrame, groups: list[str] | None = None) -> DataFr
     return out.withColumn("status", F.when(F.col("n_affirmed") > 0, "affirmed").otherwise(other))
 
 
-def concept_summary(mentions: DataFrame, most: int = 50) -> DataFrame:
-    """A document's concepts by mentions, then name, ``most`` at most (total_concepts and truncated tell), with assertion combinations by count."""
+def concept_summary(mentions: DataFrame, most: int | None = 50) -> DataFrame:
+    """A document's concepts by mentions, then name, ``most`` at most (total_concepts and truncated tell; None: all), with assertion combinations by count."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("not assessed"))
     answers = ("negated", "subject", "history_of", "uncertain")
     combos = mentions.groupBy("doc_seq", "cui", *(shown(c).alias(c) for c in answers)).agg(F.count("*").alias("n"), F.min("ord").alias("o"))
@@ -109,6 +109,8 @@ def concept_summary(mentions: DataFrame, most: int = 50) -> DataFrame:
     rows = listed.join(names, ["doc_seq", "cui"]).withColumn("assertions", F.transform("a", lambda x: x.dropFields("rank", "o"))).drop("a")
     by = Window.partitionBy("doc_seq")
     rows = rows.withColumn("total_concepts", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy(F.col("mentions").desc(), "name", "cui")))
+    if most is None:
+        return rows.withColumn("truncated", F.lit(False))
     return rows.withColumn("truncated", F.col("total_concepts") > most).where(F.col("place") <= most)
 
 

@@ -375,7 +375,7 @@ def concept_summary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""WITH {N.MENTIONS} SELECT doc_seq, cui, CAST(negated AS VARCHAR) negated, subject, CAST(history_of AS VARCHAR) history_of, CAST(uncertain AS VARCHAR) uncertain, count(*) n FROM clinical GROUP BY ALL""")
 def assertion_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cohort.concept_summary(N.clinical(spark, sf_dir), 1000)
+    out = cohort.concept_summary(N.clinical(spark, sf_dir), None)
     return out.select("doc_seq", "cui", F.inline("assertions"))
 
 

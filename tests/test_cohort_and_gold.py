@@ -121,3 +121,11 @@ def test_adjudication(spark):
     other = spark.createDataFrame([(0, 0, 4, "C1"), (0, 5, 9, "C3")], "doc_seq long, start int, end int, cui string")
     d = spark.createDataFrame([(0, 5, 9, "second", ""), (0, 20, 21, "first", "")], "doc_seq long, start int, end int, take string, overrides string")
     assert {(r.start, r.outcome, r.cui) for r in gold.adjudicate_pair(pair, other, d).collect()} == {(0, "keep", "C1"), (5, "keep", "C3"), (20, "error: neither annotation has it", None)}
+
+
+def test_assertion_combos_keep_all_concepts_of_a_document(spark, monkeypatch):
+    from notegrain.plans import catalog
+
+    rows = spark.range(1200).selectExpr("1L doc_seq", "concat('C', id) cui", "false negated", "'patient' subject", "false history_of", "cast(null as boolean) uncertain", "id ord", "'n' preferred_name", "'g' semantic_group")
+    monkeypatch.setattr(catalog.N, "clinical", lambda spark, sf_dir: rows)
+    assert catalog.assertion_combos(spark, "").count() == 1200
