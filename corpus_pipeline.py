@@ -47,7 +47,8 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("source_mix", source_mix), ("bpe", bpe)]
 
-#: SQL can express neither the language models nor the sketches; the tests hold each stage against a brute-force version.
+#: SQL can express neither the language models nor the sketches. The tests hold bpe against a library, source_mix by its words in all, the other stages
+#: against their operators, which have brute-force tests of their own; op2 and op8 also have SQL.
 ORACLE_SQL = None
 
 
