@@ -268,7 +268,7 @@ class Batch:
             at = _chunk_starts(part, offsets[a : b + 1] - low)
             end = np.append(at[1:], len(part))
             starts.append(at + low)
-            hashes.append(T.mix(T.slice_hash(T.prefix(T.byte_codes(part)), at, end) + (end - at).astype(np.uint64)))
+            hashes.append(T.word_codes(part, at, end))
         start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         end = np.append(start[1:], len(buf)) if len(start) else start
         order, begin = T.groups(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))

@@ -4,18 +4,24 @@
 smallest.  Rounds go on until every bin is filled, and from round t on a round fills one bin with all
 shingles, so that even a set of one shingle fills every coordinate; t coordinates cost about
 max(n, t log t) hashes rather than n t, and their agreement concentrates about the similarity like that of
-independent ones.
+independent ones.  A coordinate is stored as 8 bits; a band is ``rows`` of them, packed without hashing.
 
-*Candidates.*  Texts with equal word sequences are one class first, so groups of exact copies cost one
-aggregation.  Class representatives that share a band of ``rows`` coordinates are candidates.  Every member
-of a band is verified, on the full shingle sets, against the band's hub, its member with the most shared bands: first only the
-best hub of all its bands (one pair for each document, never all pairs), then, where that didn't connect them, those of its
-other bands.  This leaves few bands whose members aren't yet connected; there, members of different components are compared by their sketches,
-in blocks of bounded size, and the likely pairs are verified on the full sets too.  So every pair that
-shares a band is connected, rejected by a sketch that differs from it by over 0.2, or verified.
+*Candidates.*  Texts with equal word sequences (SHA-256) are one class first, so groups of exact copies cost one
+aggregation.  Class representatives that share a band are candidates.
 
-With 48 bands of 5 coordinates a pair at similarity 0.75 shares no band with probability 2e-6, and
-one at 0.8 with 5e-9.
+*Verification*, on full shingle sets, compared by the words themselves, in two steps:
+
+1. Every member meets the best hub of its bands, a hub being a band's member with the most shared bands: the original of
+   a family of edited copies shares a band with each of them.  One pair for each document.
+2. In bands whose members aren't connected yet, members of different components are compared by their sketches, in blocks of
+   bounded size; blocks within a band's largest component are left out.  A pair that agrees well enough is the business
+   of its first common band only.  A block gives one row for each member that has such a partner, with a bitmap of
+   its partners; the texts are brought to these rows and all marked pairs are verified there.  A block then returns a
+   spanning forest of its links: fewer rows than members, whatever the number of links.
+
+So every pair that shares a band is connected, verified, or rejected by a sketch that agrees in under ``percent`` - 14 of a
+hundred coordinates (4.9 standard deviations of 240, under 1e-6 for a pair at the limit).  With 48 bands of 5 coordinates a
+pair at similarity 0.75 shares no band with probability 2e-6, and one at 0.8 with 5e-9.
 
 Defined results: null or empty text, and text of white space, has the empty set and links with nothing;
 rows that share a ``doc_id`` are one document; a row without ``doc_id`` links nothing and is kept unless a
@@ -25,38 +31,68 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as T
-from .storage import written
+from .storage import discard, written
 
 SIGNED = "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>, sketch binary"
 _EMPTY = np.uint64(2**64 - 1)
-#: Members of one block of a band's comparison.
-_CHUNK = 400
+#: Members of one half of a block of a band's comparison.
+_CHUNK = 1000
+#: Shingles whose texts meet in one verification, but for single longer texts.
+_TILE = 300_000
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes by document, their offsets, and two hashes of each document's words."""
+def shingles(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Distinct shingle hashes by document, their offsets, and a digest of each document's words."""
     buf = T.lower_ascii(buf)
     starts, ends, at = T.word_spans(buf, offsets)
     n = np.diff(at)
-    p = T.prefix(T.word_codes(buf, starts, ends))
-    count = np.where(n > 0, np.maximum(1, n - words + 1), 0)
-    first = T.ragged(at[:-1], count)
-    doc = np.repeat(np.arange(len(n)), count)
-    last = np.minimum(first + words, at[1:][doc])
-    h = T.mix(T.slice_hash(p, first, last) + (last - first).astype(np.uint64), 1)
+    codes = T.word_codes(buf, starts, ends)
+    count = np.maximum(0, n - words + 1)
+    h, doc = T.windows(codes, words)[T.ragged(at[:-1], count)] if len(codes) >= words else np.zeros(0, np.uint64), np.repeat(np.arange(len(n)), count)
+    for k in range(1, words):  # fewer words: the whole sequence is the one shingle
+        own = np.flatnonzero(n == k)
+        h, doc = np.concatenate([h, T.join(T.windows(codes, k)[at[own]], np.uint64(k), 5)]), np.concatenate([doc, own])
+    order, begin = T.groups(doc, T.mix(h, 1))
+    one = order[begin]
+    digests = [hashlib.sha256(x).digest() for x in T.joined(buf, starts, ends, np.repeat(np.arange(len(n)), n), len(n))]
+    return T.mix(h, 1)[one], np.searchsorted(doc[one], np.arange(len(n) + 1)), digests
+
+
+def exact_shingles(column: pa.Array | pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle numbers by document, and their offsets: two are equal if and only if their words are."""
+    buf, offsets = T.texts(column)
+    buf = T.lower_ascii(buf)
+    starts, ends, at = T.word_spans(buf, offsets)
+    n, size = np.diff(at), ends - starts
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(buf[T.ragged(starts, size)])])
+    h, have = flat.dictionary_encode().indices.to_numpy().astype(np.uint64), 1
+
+    def pairs(step: int) -> np.ndarray:
+        return np.unique(h[: len(h) - step] << np.uint64(32) | h[step:], return_inverse=True)[1].astype(np.uint64)
+
+    count = np.maximum(0, n - words + 1)
+    if count.any():
+        while 2 * have <= words:
+            h, have = pairs(have), 2 * have
+        if have < words:
+            h = pairs(words - have)
+        h = h[T.ragged(at[:-1], count)].astype(np.int64)
+    else:
+        h = np.zeros(0, np.int64)
+    few = np.flatnonzero((n > 0) & (n < words))  # representatives of classes differ, so these are alone
+    h, doc = np.concatenate([h, -1 - few]), np.concatenate([np.repeat(np.arange(len(n)), count), few])
     order, begin = T.groups(doc, h)
     one = order[begin]
-    h, doc = h[one], doc[one]
-    q = T.prefix(T.word_codes(buf, starts, ends, 9))
-    size = n.astype(np.uint64)
-    return h, np.searchsorted(doc, np.arange(len(n) + 1)), T.mix(T.slice_hash(p, at[:-1], at[1:]) + size, 2), T.mix(T.slice_hash(q, at[:-1], at[1:]) + size, 3)
+    return h[one], np.searchsorted(doc[one], np.arange(len(n) + 1))
 
 
 def sketch(h: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
@@ -84,57 +120,23 @@ def sketch(h: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
 
 
 def _signed(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.RecordBatch:
-    buf, offsets = T.texts(batch["text"])
-    h, at, c1, c2 = shingles(buf, offsets, words)
+    h, at, digests = shingles(*T.texts(batch["text"]), words)
     n = np.diff(at)
-    s = sketch(h, at, bands * rows)
-    key = np.zeros((len(n), bands), np.uint64)
+    s = (T.mix(sketch(h, at, bands * rows), 60) & np.uint64(255)).astype(np.uint8)
+    key = np.repeat(np.arange(bands, dtype=np.int64)[None], len(n), axis=0)
     for r in range(rows):
-        key = T.mix(key ^ s[:, r::rows], r)
-    key = T.mix(key + np.arange(bands, dtype=np.uint64)[None], 50)
+        key = key << 8 | s[:, r::rows]
     some = np.flatnonzero(n > 0)
     ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
+    c = np.frombuffer(b"".join(x[:16] for x in digests), np.int64).reshape(-1, 2)
     columns = [
-        batch["doc_id"],
-        pa.array(n, pa.int64()),
-        pa.array(c1.view(np.int64)),
-        pa.array(c2.view(np.int64)),
-        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[some].ravel().view(np.int64))),
-        pa.array([x.tobytes() for x in (T.mix(s, 60) & np.uint64(255)).astype(np.uint8)], pa.binary()),
-    ]
+        batch["doc_id"], pa.array(n, pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]),
+        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[some].ravel())),
+        pa.array([x.tobytes() for x in s], pa.binary()),
+    ]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left, right = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                sides = []
-                for side in "ab":
-                    ids, column = batch[side].to_numpy(), batch["text_" + side]
-                    seen, first, back = np.unique(ids, return_index=True, return_inverse=True)
-                    sides.append((shingles(*T.texts(column.take(pa.array(first))), words)[:2], back))
-                (ha, at_a), ka = sides[0]
-                (hb, at_b), kb = sides[1]
-                na, nb = np.diff(at_a)[ka], np.diff(at_b)[kb]
-                pair = np.arange(len(ka))
-                x = np.concatenate([ha[T.ragged(at_a[:-1][ka], na)], hb[T.ragged(at_b[:-1][kb], nb)]])
-                own = np.concatenate([np.repeat(pair, na), np.repeat(pair, nb)])
-                order = np.lexsort((x, own))
-                x, own = x[order], own[order]
-                same = (x[1:] == x[:-1]) & (own[1:] == own[:-1])
-                both = np.bincount(own[1:][same], minlength=len(pair))
-                yes = pa.array((both > 0) & (100 * both >= percent * (na + nb - both)))
-                yield pa.RecordBatch.from_arrays([batch["a"].filter(yes), batch["b"].filter(yes)], ["a", "b"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a bigint, b bigint").distinct()
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link (a, b).
 
@@ -149,49 +151,171 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "links")
+        before, now = now, written(small, "links")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        if seen == mark or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         mark = seen
 
 
-def _compare(key: tuple, table: pa.Table, likely: float, percent: int, best: bool = False) -> pa.Table:
-    """Likely pairs between components, from two blocks of a band's members (or one with itself); best: only the likeliest of each member."""
-    t = table.to_pydict()
-    s = np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(len(t["node"]), -1)
-    node, part, n, half = (np.array(t[k]) for k in ("node", "component", "n_shingles", "half"))
-    low, high = key[1].as_py(), key[2].as_py()
-    left, right = (np.flatnonzero(half == low), np.flatnonzero(half == high))
-    a, b = [], []
-    for i in left:
-        r = right if low != high else right[node[right] > node[i]]
-        r = r[(part[r] != part[i]) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
-        agree = (s[r] == s[i]).mean(axis=1) if len(r) else np.zeros(0)
-        r, agree = r[agree >= likely], agree[agree >= likely]
-        r = r[[agree.argmax()]] if best and len(r) else r
-        a.append(np.minimum(node[r], node[i]))
-        b.append(np.maximum(node[r], node[i]))
-    empty = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+def intersections(ids: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the common parts of pairs of sets."""
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    _, code, times = np.unique(ids, return_inverse=True, return_counts=True)
+    common = times[code] > 1
+    column = np.cumsum(times > 1) - 1
+    wide = int((times > 1).sum())
+    if len(left) * 2.0 * n.mean() * 40 > len(n) ** 2 * float(wide):  # many pairs of few shingles: a product of matrices
+        row, col = doc[common], column[code[common]]
+        total = np.zeros((len(n), len(n)), np.float32)
+        for k in range(0, wide, 2048):
+            part = np.zeros((len(n), min(2048, wide - k)), np.float32)
+            here = (col >= k) & (col < k + 2048)
+            part[row[here], col[here] - k] = 1
+            total += part @ part.T
+        return total[left, right].astype(np.int64)
+    out = np.zeros(len(left), np.int64)
+    cost = np.cumsum(n[left] + n[right])
+    cuts = np.flatnonzero(np.diff(cost // 1_000_000)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(left)], strict=True):
+        x, y = left[a:b], right[a:b]
+        own = np.concatenate([np.repeat(np.arange(b - a), n[x]), np.repeat(np.arange(b - a), n[y])])
+        code_ = np.concatenate([code[T.ragged(at[:-1][x], n[x])], code[T.ragged(at[:-1][y], n[y])]])
+        both = np.sort(own * (len(times) + 1) + code_)
+        out[a:b] = np.bincount(both[1:][both[1:] == both[:-1]] // (len(times) + 1), minlength=b - a)
+    return out
+
+
+def spanning(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among n nodes."""
+    order = np.argsort(np.concatenate([left, right]), kind="stable")
+    other = np.concatenate([right, left])[order]
+    at = np.searchsorted(np.concatenate([left, right])[order], np.arange(n + 1))
+    new, out = np.ones(n, bool), []
+    for top in range(n):
+        if not new[top]:
+            continue
+        new[top], stack = False, [top]
+        while stack:
+            x = stack.pop()
+            found = np.unique(other[at[x] : at[x + 1]])
+            found = found[new[found]]
+            new[found] = False
+            out += [(x, y) for y in found.tolist()]
+            stack += found.tolist()
+    return out
 
 
-def _comparing(likely: float, percent: int, best: bool) -> Callable[[tuple, pa.Table], pa.Table]:
-    return lambda key, table: _compare(key, table, likely, percent, best)
+def _linked(texts: pa.ChunkedArray, nodes: np.ndarray, left: np.ndarray, right: np.ndarray, words: int, percent: int) -> pa.Table:
+    """A forest of those pairs of texts that are similar enough."""
+    ids, at = exact_shingles(texts, words)
+    n, both = np.diff(at), intersections(ids, at, left, right) if len(left) else np.zeros(0, np.int64)
+    yes = (both > 0) & (100 * both >= percent * (n[left] + n[right] - both))
+    found = spanning(len(n), left[yes], right[yes])
+    a, b = (nodes[[x[k] for x in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_LINKS)
 
 
-def _likely(members: DataFrame, found: DataFrame, facts: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Likely pairs (a, b) between members of a band that are in different components."""
-    label = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    label = written(label, "labels")
-    open_bands = label.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y").select("band", F.ceil(F.col("size") / _CHUNK).cast("int").alias("chunks"))
-    left = label.join(open_bands, "band").join(facts, "node").select("band", "node", "component", "sketch", "n_shingles", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("half"))
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("band", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "node", "component", "sketch", "n_shingles", "half")
-    return dealt.groupBy("band", "low", "high").applyInArrow(_comparing(percent / 100 - 0.2, percent, best), "a bigint, b bigint").distinct()
+def _stars(table: pa.Table, words: int, percent: int) -> pa.Table:
+    """Links between a hub's texts and those of its members."""
+    hub = table["is_hub"].to_numpy()
+    left, right = np.flatnonzero(hub), np.flatnonzero(~hub)
+    return _linked(table["text"], table["node"].to_numpy(), np.repeat(left, len(right)), np.tile(right, len(left)), words, percent)
+
+
+def _marked(key: tuple, table: pa.Table, rows: int, likely: float, percent: int) -> pa.Table:
+    """Members of a block with likely partners in other components: one row each, with a bitmap of the partners."""
+    band, low, high = (k.as_py() for k in key)
+    table = table.sort_by("node")
+    s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    node, part, n, half = (table[k].to_numpy() for k in ("node", "component", "n", "half"))
+    left, right = np.flatnonzero(half == low), np.flatnonzero(half == high)
+    this, pairs = band >> (8 * rows), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in left:
+        r = right if low != high else right[right > i]
+        r = r[(part[r] != part[i]) & (100 * np.minimum(n[r], n[i]) >= percent * np.maximum(n[r], n[i]))]
+        if len(r):
+            same = s[r] == s[i]
+            good = same.mean(axis=1) >= likely
+            r, same = r[good], same[good]
+            r = r[same.reshape(len(r), s.shape[1] // rows, rows).all(axis=2).argmax(axis=1) == this]  # another band's business
+            pairs.append((np.full(len(r), i), r))
+    a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs])
+    tile = (np.cumsum(n) - n) // _TILE  # by size of the texts
+    out: dict[str, list] = {k: [] for k in ("tile", "node", "place", "partners")}
+    number = tile[a] * (tile[-1] + 1 if len(tile) else 1) + tile[b]
+    for t in np.unique(number).tolist():
+        x, y = a[number == t], b[number == t]
+        members, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+        bits = np.zeros((len(members), len(members)), bool)
+        bits[back[: len(x)], back[len(x) :]] = True
+        out["tile"] += [t] * len(members)
+        out["node"] += node[members].tolist()
+        out["place"] += list(range(len(members)))
+        out["partners"] += [x.tobytes() for x in np.packbits(bits, axis=1)]
+    m = len(out["node"])
+    return pa.table({"band": pa.array([band] * m, pa.int64()), "low": pa.array([low] * m, pa.int32()), "high": pa.array([high] * m, pa.int32()), "tile": pa.array(out["tile"], pa.int64()), "node": pa.array(out["node"], pa.int64()), "place": pa.array(out["place"], pa.int32()), "partners": pa.array(out["partners"], pa.binary())})
+
+
+def _marked_links(table: pa.Table, words: int, percent: int) -> pa.Table:
+    """Links among a tile's marked pairs; rows with one doc_id each stand for it."""
+    place, size = table["place"].to_numpy(), 0
+    size = int(place.max()) + 1
+    rows = [np.flatnonzero(place == k) for k in range(size)] if len(place) != size else np.argsort(place).reshape(-1, 1)
+    bits = np.zeros((size, size), bool)
+    partners = table["partners"].to_pylist()
+    for k in range(size):
+        bits[k] = np.unpackbits(np.frombuffer(partners[int(rows[k][0])], np.uint8), count=size)
+    a, b = np.nonzero(bits)
+    if len(place) == size:
+        left, right = rows[a, 0], rows[b, 0]
+    else:
+        both = [(x, y) for p, q in zip(a.tolist(), b.tolist(), strict=True) for x in rows[p] for y in rows[q]]
+        left, right = (np.array([x[k] for x in both], np.int64) for k in (0, 1))
+    return _linked(table["text"], table["node"].to_numpy(), left, right, words, percent)
+
+
+def _hub_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verified links between members and the best hub of their bands."""
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    hubs = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("hub"))).alias("h")).select("band", F.col("h.degree").alias("degree"), F.col("h.hub").alias("hub"))
+    best = members.join(hubs, "band").where("node <> -hub").groupBy("node").agg(F.max(F.struct("degree", "hub")).alias("h"), F.max("n").alias("n"))
+    stars = written(best.select("node", (-F.col("h.hub")).alias("hub"), "n"), "stars")
+    # a hub's members are dealt to tiles by the size of their texts, and the hub goes to each tile
+    sizes = stars.groupBy("hub").agg(F.ceil(F.sum("n") / _TILE).cast("int").alias("tiles"))
+    dealt = stars.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", F.lit(False).alias("is_hub"))
+    heads = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("hub").alias("node"), F.lit(True).alias("is_hub"))
+    both = dealt.unionByName(heads).join(texts, "node")
+    links = written(both.groupBy("hub", "tile").applyInArrow(lambda t: _stars(t, words, percent), "a bigint, b bigint"), "verified")
+    discard(stars)
+    return links
+
+
+def _open_links(members: DataFrame, found: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, rows: int, percent: int) -> DataFrame:
+    """Verified links, a spanning forest by block, between members of a band that are in different components."""
+    label = written(members.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")), "labels")
+    parts = label.groupBy("band", "component").agg(F.count("*").alias("size"))
+    open_bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("h")).where("parts > 1")
+    open_bands = open_bands.select("band", F.col("h.component").alias("main"), F.ceil(F.col("h.size") / _CHUNK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("h.size")) / _CHUNK).cast("int").alias("others"))
+    own = F.col("component") == F.col("main")
+    left = label.join(open_bands, "band").withColumn("half", F.when(own, F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others"))).cast("int"))
+    # the main component's chunks meet the others' only
+    dealt = left.withColumn("other", F.explode(F.sequence(F.when(own, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
+    dealt = dealt.select("band", F.least("half", "other").cast("int").alias("low"), F.greatest("half", "other").cast("int").alias("high"), "node", "component", "n", "half").join(sketches, "node")
+    schema = "band bigint, low int, high int, tile bigint, node bigint, place int, partners binary"
+    marked = written(dealt.groupBy("band", "low", "high").applyInArrow(lambda key, t: _marked(key, t, rows, percent / 100 - 0.14, percent), schema), "marked")
+    discard(label)
+    links = written(marked.join(texts, "node").groupBy("band", "low", "high", "tile").applyInArrow(lambda t: _marked_links(t, words, percent), "a bigint, b bigint"), "verified")
+    discard(marked)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, bands: int = 48, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (it is the document's own)."""
+    if rows > 6 or bands > 127:
+        raise ValueError("a band's number and its rows of 8 bits must fit in 63 bits")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,36 +330,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")).where("node is not null")
     own = signed.where("n_shingles > 0 and doc_id is not null")
     reps = own.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "c1", "c2"], "left_semi")
-    members = written(reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")), "bands")
+    members = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = written(members.join(shared.select("band"), "band").select("band", "node"), "members")
-    # a band's hub is its member with the most shared bands: the original of a family of edited copies shares a band
-    # with each of them, while two copies may differ too much
-    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = members.join(degree, "node")
-    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("hub"))).alias("h")).select("band", F.col("h.degree").alias("hub_degree"), (-F.col("h.hub")).alias("hub"))
-    near = written(members.join(hubs, "band").where("node <> hub").select("node", "hub", "hub_degree").distinct(), "hubs")
-    pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
-    best = near.groupBy("node").agg(F.max(F.struct("hub_degree", (-F.col("hub")).alias("hub"))).alias("h")).select("node", (-F.col("h.hub")).alias("hub"))
-    stars = written(best.select(*pair).distinct(), "stars")
-    links = written(_verify(stars, docs, words, percent), "verified")
-    found = components(links)
-    # members that their best hub didn't connect try the hubs of all their bands
-    named = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
-    apart = near.join(named("node"), "node", "left").join(named("hub"), "hub", "left").where(F.coalesce("node_component", "node") != F.coalesce("hub_component", "hub"))
-    second = written(apart.select(*pair).distinct().join(stars, ["a", "b"], "left_anti"), "stars")
-    tested = stars
+    members = written(members.join(shared.select("band"), "band").select("band", "node", "n"), "members")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("node"), "text")
+
+    first = _hub_links(members, texts, words, percent)
+    found = components(first)
+    sketches = own.select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"])
+    second = _open_links(members, found, sketches, texts, words, rows, percent)
+    discard(members)
     if not second.isEmpty():
-        tested = stars.unionByName(second)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verify(second, docs, words, percent)))
-
-    # as in Boruvka's algorithm, first each member's likeliest partner in another component; then all that are left
-    facts = own.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
-    for best in (True, True, False):
-        more = written(_likely(members, found, facts, percent, best).join(tested, ["a", "b"], "left_anti"), "likely")
-        if not more.isEmpty():
-            tested = tested.unionByName(more)
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verify(more, docs, words, percent)))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
     named = classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
     linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", "component_id")

@@ -52,7 +52,7 @@ class _Block:
         self.starts, self.ends, self.words = T.word_spans(self.buf, offsets)
         self.n = np.diff(self.words)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.p = T.prefix(T.word_codes(self.buf, self.starts, self.ends))
+        self.codes = T.word_codes(self.buf, self.starts, self.ends)
         able = (self.n >= window) & ~self.null  # documents with windows
         self.last = np.where(able, self.words[1:] - window, -1)  # last window start by document
         q = window - period + 1
@@ -61,7 +61,7 @@ class _Block:
         at = np.arange(len(self.doc))
         rank = at - self.words[self.doc]
         self.at = at[able[self.doc] & residues[rank % period] & (rank + q <= self.n[self.doc])]  # anchors
-        h = T.mix(T.slice_hash(self.p, self.at, self.at + q))
+        h = T.mix(T.windows(self.codes, q)[self.at])
         self.order, self.begin = T.groups(h)
         self.keys = h[self.order[self.begin]] if len(h) else h
         size = np.diff(np.append(self.begin, len(h)))
@@ -78,12 +78,9 @@ class _Block:
         high = np.minimum(self.last[doc], at)
         ok = high >= low
         self.at2 = np.flatnonzero(T.cover(len(self.doc), low[ok], (high - low + 1)[ok]))
-        raw = T.slice_hash(self.p, self.at2, self.at2 + self.window)
-        h1 = T.mix(raw, 1)
-        self.order2, self.begin2 = T.groups(h1)
-        # the second 64 bits come from other word codes, so they fail independently
-        p2 = T.prefix(T.word_codes(self.buf, self.starts, self.ends, 7))
-        h2 = T.mix(T.slice_hash(p2, self.at2, self.at2 + self.window), 2)
+        h1 = T.mix(T.windows(self.codes, self.window)[self.at2], 1)
+        # the second 64 bits come from other random numbers for the words' bytes and other steps
+        h2 = T.mix(T.windows(T.word_codes(self.buf, self.starts, self.ends, 7), self.window, 7)[self.at2], 2)
         self.order2, self.begin2 = T.groups(h1, h2)
         self.key1, self.key2 = h1[self.order2[self.begin2]], h2[self.order2[self.begin2]]
         self.d2 = self.ids[self.doc[self.at2]]
@@ -101,20 +98,7 @@ class _Block:
     def kept(self, removed: np.ndarray) -> list[bytes]:
         """The kept words of each document, joined by one space."""
         word = np.flatnonzero(~removed)
-        doc = self.doc[word]
-        final = np.ones(len(word), bool)
-        final[:-1] = doc[1:] != doc[:-1]
-        mark = np.zeros(len(self.buf) + 1, np.int8)
-        mark[self.starts[word]] += 1
-        mark[self.ends[word]] -= 1
-        keep = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
-        out, gap = self.buf.copy(), self.ends[word[~final]]  # a later word follows, so white space does
-        out[gap] = 32
-        keep[gap] = True
-        size = np.zeros(len(self.n) + 1, np.int64)
-        np.add.at(size, doc + 1, self.ends[word] - self.starts[word] + ~final)
-        cut, flat = np.cumsum(size), out[keep].tobytes()
-        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return T.joined(self.buf, self.starts[word], self.ends[word], self.doc[word], len(self.n))
 
 
 def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 50, period: int = 21, keep_text: bool = True) -> DataFrame:

@@ -1,7 +1,9 @@
 """Vectorised text primitives shared by the operators (numpy over Arrow buffers).
 
-A batch of texts is one ``uint8`` buffer with document offsets.  Hashes are polynomial prefix sums
-modulo 2**64: ``H(s, e) = (P[e] - P[s]) * B**-s``, so the hash of any slice costs two loads.
+A batch of texts is one ``uint8`` buffer with document offsets.  No hash here is a polynomial modulo 2**64, whose
+collisions can be written down (Thue-Morse words).  A word's code is the sum of one random 64-bit number for each of
+its bytes *and places*, so two different words meet by chance alone; wider windows join the hashes of their halves by
+steps that are bijective in either half and linear in neither.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_rng = np.random.default_rng(20240229)
-_BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PLACES = 64  # places in a word whose numbers are drawn beforehand
+_tables: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -47,28 +49,45 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def prefix(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums of ``codes[k] * B**k``; one longer than the input."""
+    """Prefix sums of ``codes[k] * B**k``; one longer than the input. For slices of a few codes only."""
     out = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * powers(len(codes))[0], dtype=np.uint64, out=out[1:])
     return out
 
 
 def slice_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the slices [start, end), from the prefix sums of ``prefix``."""
+    """Hashes of the short slices [start, end), from the prefix sums of ``prefix``."""
     inverse = powers(len(p))[1]
     return (p[end] - p[start]) * inverse[start]
 
 
-def rolling_hash(p: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all slices of one width."""
-    n = len(p) - width
-    if n <= 0:
+def join(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """One hash for each pair of hashes: a bijection in either, linear in neither."""
+    x = a * np.uint64(((2 * salt + 1) * 0xD6E8FEB86659FD93) % 2**64)
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def windows(codes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+    """Hashes of all ``width`` consecutive codes, by doubling; the last two halves may overlap."""
+    if len(codes) < width:
         return np.zeros(0, np.uint64)
-    return (p[width:] - p[:n]) * powers(len(p))[1][:n]
+    h, have = codes, 1
+    while 2 * have <= width:
+        h = join(h[: len(h) - have], h[have:], salt)
+        have *= 2
+    rest = width - have
+    return join(h[: len(h) - rest], h[rest:], salt + 1) if rest else h
 
 
-def byte_codes(buf: np.ndarray) -> np.ndarray:
-    return _BYTE_CODES[buf]
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, first byte highest; zeros beyond the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf), ">u8", padded.data, strides=(1,)).astype(np.uint64)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +134,37 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 
 
 def word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """One 64-bit code for each word, a function of its bytes."""
-    return mix(slice_hash(prefix(byte_codes(buf)), starts, ends) + (ends - starts).astype(np.uint64), salt)
+    """One 64-bit code for each word; codes of different salts are independent."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if salt not in _tables:
+        _tables[salt] = np.random.default_rng([20240229, salt]).integers(0, 2**64, _PLACES * 256, dtype=np.uint64)
+    n = ends - starts
+    begin = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(begin, n)
+    at = (place << 8) | buf[ragged(starts, n)]
+    code = _tables[salt][np.minimum(at, _PLACES * 256 - 1)]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        code[far] = mix(mix(at[far].astype(np.uint64), salt), salt + 77)
+    return mix(np.add.reduceat(code, begin), salt)
+
+
+def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, documents: int) -> list[bytes]:
+    """The given words of each document, joined by one space."""
+    final = np.ones(len(doc), bool)
+    final[:-1] = doc[1:] != doc[:-1]
+    mark = np.zeros(len(buf) + 1, np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    keep = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+    out, gap = buf.copy(), ends[~final]  # a later word follows, so white space does
+    out[gap] = 32
+    keep[gap] = True
+    size = np.zeros(documents + 1, np.int64)
+    np.add.at(size, doc + 1, ends - starts + ~final)
+    cut, flat = np.cumsum(size), out[keep].tobytes()
+    return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -148,7 +196,5 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cover(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     """Which of n positions lie in one of the slices."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, starts, 1)
-    np.add.at(d, starts + lengths, -1)
+    d = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
     return np.cumsum(d[:-1]) > 0

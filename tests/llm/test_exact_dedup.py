@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from notegrain.llm import substring_dedup as words, suffix_dedup as suffixes
+from notegrain.llm import minhash, substring_dedup as words, suffix_dedup as suffixes
 
 
 def brute(items: dict[int, list], length: int):
@@ -57,6 +57,24 @@ def test_bytes(corpus, rows, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(x), sum(gone[d]), runs, kept)
 
 
+def thue_morse(n, a, b):
+    """Words whose polynomial hashes modulo 2**64 are equal for any base: the first n letters, and the same with a and b exchanged."""
+    return "".join((a, b)[k.bit_count() % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    one, two = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    docs = spark.createDataFrame([(1, " ".join([one] * 60)), (2, " ".join([two] * 60)), (3, one), (4, two)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in words.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    items = {r.doc_id: list(r.text.encode()) for r in docs.collect()}
+    gone = brute(items, 50)
+    for hot in (2000, 1):
+        found = {r.doc_id: bytes(r.kept) for r in suffixes.suffix_dedup(docs, hot=hot).collect()}
+        assert found == {d: bytes(c for c, g in zip(x, gone[d], strict=True) if not g) for d, x in items.items()}
+
+
 def test_empty_table_and_repeated_ids(spark, corpus):
     for f in (words.substring_dedup, suffixes.suffix_dedup):
         assert f(corpus.where("false")).count() == 0

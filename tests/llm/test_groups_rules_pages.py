@@ -76,18 +76,80 @@ def test_sketches_agree_as_sets_do():
             assert (s != minhash._EMPTY).all() and abs((s[0] == s[1]).mean() - true) < (0.12 if size > 3 else 0.35)
 
 
-def test_blocks_of_a_band_compare_every_pair_once():
+def test_a_block_marks_each_likely_pair_once_and_returns_a_forest():
     import pyarrow as pa
 
-    n = 7
-    table = pa.table({"node": list(range(n)), "component": [0, 0, 1, 1, 2, 2, 2], "sketch": [b"\1" * 8] * n, "n_shingles": [10] * n, "half": [k % 2 for k in range(n)]})
-    seen = []
-    for low, high in ((0, 0), (0, 1), (1, 1)):
-        part = table.filter(pa.array([k % 2 in (low, high) for k in range(n)]))
-        out = minhash._compare((pa.scalar(1), pa.scalar(low), pa.scalar(high)), part, 0.5, 75).to_pydict()
-        seen += zip(out["a"], out["b"], strict=True)
-    label = table["component"].to_pylist()
-    assert sorted(seen) == [(a, b) for a in range(n) for b in range(a + 1, n) if label[a] != label[b]]
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(40):
+        now = list(base)
+        for _ in range(k % 6):
+            now[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(now))
+    h, at, _ = minhash.shingles(*minhash.T.texts(pa.array(texts)), 5)
+    s = (minhash.T.mix(minhash.sketch(h, at, 240), 60) & np.uint64(255)).astype(np.uint8)
+    alike = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 3 != b % 3 and alike(shingles(texts[a]), shingles(texts[b]))}
+    marked, links = Counter(), 0
+    for band in range(48):
+        for low, high in ((0, 0), (0, 1), (1, 1)):
+            rows = [k for k in range(40) if k % 2 in (low, high)]
+            shared = {}
+            for k in rows:
+                shared.setdefault(s[k, 5 * band : 5 * band + 5].tobytes(), []).append(k)
+            for members in shared.values():
+                table = pa.table({"node": members, "component": [k % 3 for k in members], "n": np.diff(at)[members], "half": pa.array([k % 2 for k in members], pa.int32()), "sketch": [s[k].tobytes() for k in members]})
+                out = minhash._marked((pa.scalar(band << 40), pa.scalar(low), pa.scalar(high)), table, 5, 0.61, 75)
+                if not out.num_rows:
+                    continue
+                bits = np.array([np.unpackbits(np.frombuffer(x, np.uint8), count=out.num_rows) for x in out["partners"].to_pylist()])
+                node = out["node"].to_pylist()
+                marked.update((min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(*np.nonzero(bits), strict=True))
+                found = minhash._marked_links(out.append_column("text", pa.array([texts[k] for k in node])), 5, 75)
+                assert found.num_rows < out.num_rows and {*zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)} <= want
+                links += found.num_rows
+    assert want <= set(marked) and set(marked.values()) == {1} and links
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_intersections_both_ways(many):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60 if many else 4000, 40)) for _ in range(50)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    left, right = np.triu_indices(50, 1) if many else (np.arange(49), np.arange(1, 50))
+    found = minhash.intersections(np.concatenate(sets), at, left, right)
+    assert found.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(left, right, strict=True)]
+
+
+def test_exact_shingles_are_equal_as_words_are():
+    import pyarrow as pa
+
+    texts = ["a b c d e f a b c d e", "A B c d  e", "x", "", None, "b c d e f a"]
+    ids, at = minhash.exact_shingles(pa.array(texts), 5)
+    assert np.diff(at).tolist() == [len(shingles(t)) for t in texts]
+    sets = [set(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert [[len(x & y) for y in sets] for x in sets] == [[len(shingles(x) & shingles(y)) for y in texts] for x in texts]
+
+
+def test_recall_of_links_at_the_limit(spark):
+    """Pairs of 0.75 to 0.8, all of which brute force links."""
+    rng, texts = random.Random(8), {}
+    for pair in range(400):
+        size = rng.randrange(40, 120)
+        base = [f"p{pair}w{k}" for k in range(size)]
+        n, edited, left = size - 4, list(base), None
+        for k in rng.sample(range(2, size - 3, 6), (size - 4) // 6):
+            trial = list(edited)
+            trial[k] = f"e{k}"
+            both = len(shingles(" ".join(base)) & shingles(" ".join(trial)))
+            if 100 * both < 75 * (2 * n - both):
+                break
+            edited, left = trial, both
+        assert left is not None
+        texts[2 * pair], texts[2 * pair + 1] = " ".join(base), " ".join(edited)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == {d: d - d % 2 for d in texts}
 
 
 def test_components_of_paths_and_stars(spark):
