@@ -96,13 +96,13 @@ def test_any_two_positions_reach_the_cover_together(period):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=5), st.integers(2, 20))
 def test_refinement_numbers_equal_strings_alike(texts, length):
-    data, starts, strings = [], [], []
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            starts.append(len(data) + i)
-            strings.append(t[i : i + length])
-        data += t.encode()
-    if not starts:
-        return
-    number = suffixes.refine(np.array(data, np.uint8), np.array(starts), length)
+    strings = [t[i : i + length] for t in texts for i in range(len(t) - length + 1)]
+    number = suffixes.refine(np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts]), length)
+    assert len(number) == len(strings)
     assert len(set(zip(number.tolist(), strings, strict=True))) == len(set(number.tolist())) == len(set(strings))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("a\0", max_size=150), min_size=1, max_size=6), st.sampled_from([7, 8, 9, 16, 50, 56, 57]))
+def test_refinement_of_repeats_and_zero_bytes(texts, length):
+    test_refinement_numbers_equal_strings_alike.hypothesis.inner_test(texts, length)
