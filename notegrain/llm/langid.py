@@ -5,10 +5,15 @@ marks: absolute discounts by order, continuation counts below the highest.  All
 sorted array of n-gram hashes for each order, with a row of interpolated log probabilities by
 language, and one of context hashes with back-off weights, so a letter costs a binary search for the
 longest n-gram known.  Distinct words of a batch are scored once.  The language with the lowest
-cross-entropy by letter wins; rejection compares that with what held-back training documents of the language reached.
+cross-entropy by letter wins.
 
-The models are fitted on at most about ``sample`` documents of each language, chosen by a hash of the id, which
-bounds what the driver sees; prediction reads every document whole.
+*Rejection* is calibrated on a fifth of the training documents, which the models don't see: their cross-entropies have a mean, a variance
+between documents, and one within them that falls with the letters of a document.  A document is rejected beyond the
+quantile of that normal law that a share ``rate`` of its language's documents exceeds.  ``lang_pred`` names the best language all the same.
+
+The models are fitted on at most about ``sample`` documents of each language, chosen by a hash of the id.  Executors count
+their words, one task fits the models from the counts, another pass scores the documents for calibration; the driver sees
+the packed models and three figures by language.  Prediction reads every document whole.
 
 Defined results: ``und`` with score 0 where text is null or has no letter, or where nothing was
 learned; null ``lang`` is not learned; a row without ``doc_id`` is held out; only text decides a prediction; other columns are ignored, whatever
@@ -17,9 +22,11 @@ their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +88,10 @@ class Model:
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     floor: np.ndarray  # log probability of a letter never seen
-    limit: np.ndarray  # highest cross-entropy accepted, by language
+    mean: np.ndarray  # of the cross-entropy of the language's own documents
+    between: np.ndarray  # its variance between documents, beside
+    within: np.ndarray  # that of a document of one letter, which falls with the letters
+    z: float = np.inf  # standard deviations beyond the mean at which a document is rejected
 
     @staticmethod
     def fit(counts: list[Counter], languages: list[str], order: int) -> Model:
@@ -124,7 +134,7 @@ class Model:
             logp.append(np.log(prob).astype(np.float32))
             contexts.append(context[order_[first]])
             backoff.append(np.log(weight_).astype(np.float32))
-        return Model(order, languages, grams, logp, contexts, backoff, floor, np.full(len(counts), np.inf))
+        return Model(order, languages, grams, logp, contexts, backoff, floor, *(np.zeros(len(counts)) for _ in range(3)))
 
     def cost(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each word in each language, and how many letters (with the end mark) they are over; 0 without a letter."""
@@ -148,8 +158,8 @@ class Model:
             out[some, l] = -np.bincount(own, total[:, l], len(some)) / np.log(2)
         return out, np.where(n > 0, n + 1, 0)
 
-    def entropy(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy by letter of each document in each language, and its letters."""
+    def entropy(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy by letter of each document in each language, its letters, and the variance of a single letter's, from the words' sums."""
         starts, ends, at = T.word_spans(buf, offsets)
         order, first = T.groups(T.word_codes(buf, starts, ends))
         word = np.empty(len(order), np.int64)
@@ -158,28 +168,49 @@ class Model:
         bits, letters = self.cost([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
         n = np.bincount(doc, letters[word], len(offsets) - 1)
-        total = np.stack([np.bincount(doc, bits[word, l], len(offsets) - 1) for l in range(len(self.languages))], axis=1) if self.languages else np.zeros((len(n), 0))
-        return total / np.maximum(1, n)[:, None], n
-
-
-def train(sample: list[tuple[str, str]], order: int, slack: float) -> Model:
-    """Fit on (lang, text) rows; every fifth of a language only calibrates the rejection."""
-    languages = sorted({lang for lang, _ in sample})
-    counts, back = [Counter() for _ in languages], [[] for _ in languages]
-    place, seen = {lang: k for k, lang in enumerate(languages)}, Counter()
-    for lang, text in sample:
-        seen[lang] += 1
-        if seen[lang] % 5 == 0:
-            back[place[lang]].append(text)
-        else:
-            counts[place[lang]].update(text.split())
-    model = Model.fit(counts, languages, order)
-    for k, texts in enumerate(back):
-        entropy, n = model.entropy(*T.texts(pa.array(texts, pa.large_string())))
-        reached = entropy[n >= 20, k]
-        if len(reached):
-            model.limit[k] = reached.max() + slack
-    return model
+        mean, spread = np.zeros((len(n), len(self.languages))), np.zeros((len(n), len(self.languages)))
+        for l in range(len(self.languages)):
+            own = bits[word, l]
+            mean[:, l] = np.bincount(doc, own, len(n)) / np.maximum(1, n)
+            spread[:, l] = np.bincount(doc, (own - mean[doc, l] * letters[word]) ** 2, len(n)) / np.maximum(1, n)
+        return mean, n, spread
+
+    def accepts(self, entropy: np.ndarray, letters: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Is a document's cross-entropy within what its language's own documents reach?"""
+        if self.z == np.inf:
+            return np.ones(len(entropy), bool)
+        return entropy <= self.mean[language] + self.z * np.sqrt(self.between[language] + self.within[language] / np.maximum(1, letters))
+
+
+def _slices(column: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Ranges of rows of about so many bytes."""
+    at = np.cumsum(np.diff(T.texts(column)[1])) // size
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(column)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n): the words of each batch."""
+    for whole in batches:
+        for a, b in _slices(whole["text"], 2_000_000):
+            count: Counter = Counter()
+            for lang, text in zip(whole["lang"].slice(a, b - a).to_pylist(), whole["text"].slice(a, b - a).to_pylist(), strict=True):
+                count.update((lang, w) for w in text.split())
+            keys = list(count)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([count[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+
+
+def fit(counts: dict[str, Counter], order: int) -> Model:
+    """The models from the words of each language."""
+    languages = sorted(counts)
+    return Model.fit([counts[k] for k in languages], languages, order)
+
+
+def _fit(table: pa.Table, order: int) -> pa.Table:
+    counts: dict[str, Counter] = {}
+    for lang, word, n in zip(table["lang"].to_pylist(), table["word"].to_pylist(), table["n"].to_pylist(), strict=True):
+        counts.setdefault(lang, Counter())[word] = n
+    return pa.table({"model": pa.array([pickle.dumps(fit(counts, order))], pa.binary())})
 
 
 def held_out(doc_id: str) -> Column:
@@ -187,40 +218,61 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, order: int = 5, slack: float = 1.5) -> Model:
+def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, order: int = 5, rate: float = 1e-6) -> Model:
     """The models of all languages, from about ``sample`` documents of each."""
-    able = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = able.groupBy(F.col(lang).alias("lang")).count().collect()
+    able = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sizes = able.groupBy("lang").count().collect()
     if not sizes:
-        return train([], order, slack)
+        return fit({}, order)
     share = F.create_map(*(F.lit(x) for row in sizes for x in (row["lang"], min(1.0, sample / row["count"]))))
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(doc_id)), F.lit(1_000_003)) / 1_000_003.0
-    rows = able.where(draw < share[F.col(lang)]).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).collect()
-    return train([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["id"], r["text"]))], order, slack)
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("id")), F.lit(1_000_003)) / 1_000_003.0
+    drawn = able.where(draw < share[F.col("lang")]).withColumn("back", F.pmod(F.xxhash64(F.lit("calibration"), F.col("id")), F.lit(5)) == 0)
+    words = drawn.where("not back").select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    packed = words.select(F.lit(0).alias("all"), "lang", "word", "n").groupBy("all").applyInArrow(lambda t: _fit(t, order), "model binary").collect()
+    model = pickle.loads(packed[0]["model"]) if packed else fit({}, order)
+    if not model.languages:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = pickle.loads(shared.value)
+        place = {k: i for i, k in enumerate(m.languages)}
+        for whole in batches:
+            for a, b in _slices(whole["text"], 2_000_000):
+                batch = whole.slice(a, b - a)
+                own = np.array([place.get(k, 0) for k in batch["lang"].to_pylist()])
+                entropy, n, spread = m.entropy(*T.texts(batch["text"]))
+                row = np.arange(len(n))
+                yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(entropy[row, own]), pa.array(n), pa.array(spread[row, own])], ["lang", "entropy", "letters", "spread"])
+
+    seen = drawn.where("back").select("lang", "text").mapInArrow(reached, "lang string, entropy double, letters double, spread double").where("letters >= 20")
+    stats = {r["lang"]: r for r in seen.groupBy("lang").agg(F.avg("entropy").alias("mean"), F.var_pop("entropy").alias("all"), F.avg("spread").alias("within"), F.avg(F.col("spread") / F.col("letters")).alias("part"), F.count("*").alias("n")).collect()}
+    shared.destroy()
+    if all(k in stats and stats[k]["n"] >= 5 for k in model.languages):
+        model.mean = np.array([stats[k]["mean"] for k in model.languages])
+        model.within = np.array([stats[k]["within"] for k in model.languages])
+        model.between = np.array([max(stats[k]["all"] - stats[k]["part"], 0.1 * stats[k]["all"]) for k in model.languages])
+        model.z = NormalDist().inv_cdf(1 - rate)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), batch_bytes: int = 2_500_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy and accepted, and the columns to keep, for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = pickle.loads(shared.value)
         names = np.array([*m.languages, "und"], object)
         for whole in batches:
-            size = np.cumsum(np.diff(T.texts(whole["__text"])[1])) // batch_bytes
-            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), whole.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
+            for a, b in _slices(whole["__text"], batch_bytes):
                 batch = whole.slice(a, b - a)
-                entropy, n = m.entropy(*T.texts(batch["__text"]))
+                entropy, n, _ = m.entropy(*T.texts(batch["__text"]))
                 none = (n == 0) | (not m.languages)
-                best = np.where(none, len(m.languages), entropy.argmin(axis=1) if m.languages else 0)
+                best = entropy.argmin(axis=1) if m.languages else np.zeros(len(n), np.int64)
                 low = entropy.min(axis=1) if m.languages else np.zeros(len(n))
                 score = np.where(none, 0.0, 1 / np.maximum(1, np.exp(-10 * (entropy - low[:, None])).sum(axis=1)))
-                limit = np.append(m.limit, -np.inf)[best]
-                accepted = ~none & ((low <= limit) | (n < 20))
-                columns = [*(batch[c] for c in ("__held", *kept)), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(low), pa.array(accepted)]
+                accepted = ~none & m.accepts(low, n, best)
+                columns = [*(batch[c] for c in ("__held", *kept)), pa.array(names[np.where(none, len(m.languages), best)].tolist(), pa.string()), pa.array(score), pa.array(low), pa.array(accepted)]
                 yield pa.RecordBatch.from_arrays(columns, ["held_out", *kept, "lang_pred", "score", "entropy", "accepted"])
 
     kept = tuple(f"k{i}" for i in range(len(keep) + 1))

@@ -3,7 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -150,8 +150,6 @@ def test_language_accuracy_on_held_out(spark):
 
 
 def test_kneser_ney_probabilities_sum_to_one():
-    from collections import Counter
-
     model = langid.Model.fit([Counter(["abab", "abc", "bca", "ca"])], ["x"], 3)
     letters = ["a", "b", "c", ""]  # "" is the end mark
     for prefix in ("", "a", "ab", "bc", "ccb"):
@@ -164,6 +162,58 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert total + _unseen(model, prefix) == pytest.approx(1, abs=1e-6)
 
 
+def plain_kneser_ney(counts, order):
+    """By dictionaries, from the definition: bits of a word in each language."""
+    padded = lambda w: [2] * (order - 1) + [ord(c) for c in w.lower() if c.isalpha()] + [3]
+    letters = {x for c in counts for w in c if any(ch.isalpha() for ch in w) for x in padded(w)[order - 1 :]}
+    models = []
+    for c in counts:
+        tables = {order: Counter()}
+        for w, n in c.items():
+            x = padded(w)
+            for i in range(order - 1, len(x)):
+                if len(x) > order:
+                    tables[order][tuple(x[i - order + 1 : i + 1])] += n
+        for k in range(order - 1, 0, -1):
+            tables[k] = Counter(g[1:] for g in tables[k + 1])
+        models.append(tables)
+
+    def probability(tables, gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(letters) + 1)
+        t = tables[k]
+        ones, twos = (sum(v == m for v in t.values()) for m in (1, 2))
+        discount = min(0.9, max(0.1, ones / max(1, ones + 2 * twos)))
+        after = [v for g, v in t.items() if g[:-1] == gram[:-1]]
+        lower = probability(tables, gram[1:])
+        return lower if not after else max(t[gram] - discount, 0) / sum(after) * (gram in t) + discount * len(after) / sum(after) * lower
+
+    return lambda w: [-sum(np.log2(probability(t, tuple(padded(w)[i - order + 1 : i + 1]))) for i in range(order - 1, len(padded(w)))) for t in models]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_costs_equal_plain_kneser_ney(order):
+    counts = [Counter({"abab": 3, "abc": 1, "bca": 2, "ca": 1, "a1b": 1, "99": 4}), Counter({"Ça": 2, "açab": 1, "bbb": 5}), Counter({"xyx": 1})]
+    model, plain = langid.Model.fit(counts, ["x", "y", "z"], order), plain_kneser_ney(counts, order)
+    words = ["abab", "ab", "cab", "ça", "zzz", "xb", "x", "aaaaab"]
+    bits, n = model.cost(words)
+    assert n.tolist() == [len(w) + 1 for w in words]
+    for w, row in zip(words, bits, strict=True):
+        assert row == pytest.approx(plain(w), rel=1e-5)
+
+
+def test_rejection_is_calibrated(spark):
+    """Documents like those learned pass at any length, but for the stated share; others don't."""
+    docs = spark.createDataFrame(language_rows(2000), "doc_id long, text string, lang string")
+    for rate, low, high in ((0.05, 0.02, 0.1), (1e-6, 0, 0.001)):
+        out = langid.identify(docs, langid.learn(docs, rate=rate))
+        refused = out.where("held_out and not accepted").count() / out.where("held_out").count()
+        assert low <= refused <= high
+    other = spark.createDataFrame([(k, " ".join("".join(x) for x in np.random.default_rng(k).choice(list("qxzwkvjпдя"), (8 + k, 6))), None) for k in range(50)], "doc_id long, text string, lang string")
+    assert langid.identify(other, langid.learn(docs)).where("accepted").count() == 0
+
+
 def _step(model, p, at):
     at, cost = np.array([at]), 0.0
     for k in range(model.order, 0, -1):
