@@ -7,13 +7,15 @@ language, and one of context hashes with back-off weights, so a letter costs a b
 longest n-gram known.  Distinct words of a batch are scored once.  The language with the lowest
 cross-entropy by letter wins.
 
-*Rejection* is calibrated on a fifth of the training documents, which the models don't see: their cross-entropies have a mean, a variance
-between documents, and one within them that falls with the letters of a document.  A document is rejected beyond the
-quantile of that normal law that a share ``rate`` of its language's documents exceeds.  ``lang_pred`` names the best language all the same.
+*Rejection* is calibrated on at most about ``calibration`` training documents of each language that the models don't see (a fifth is
+set aside): their cross-entropies have a mean, a variance between documents, and one within them that falls with the letters of a document.
+Standardised by these, they have a 95th percentile and a mean excess beyond it; a document is rejected beyond the
+point that a share ``rate`` of its language's documents exceeds if the excess is exponential.  (A normal law is too narrow: texts with many
+capitals, repeats or quotations lie far out.)  ``lang_pred`` names the best language all the same.
 
 The models are fitted on at most about ``sample`` documents of each language, chosen by a hash of the id.  Executors count
 their words, one task fits the models from the counts, another pass scores the documents for calibration; the driver sees
-the packed models and three figures by language.  Prediction reads every document whole.
+the packed models and three numbers for each document of the calibration.  Prediction reads every document whole.
 
 Defined results: ``und`` with score 0 where text is null or has no letter, or where nothing was
 learned; null ``lang`` is not learned; a row without ``doc_id`` is held out; only text decides a prediction; other columns are ignored, whatever
@@ -26,10 +28,10 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
@@ -91,7 +93,7 @@ class Model:
     mean: np.ndarray  # of the cross-entropy of the language's own documents
     between: np.ndarray  # its variance between documents, beside
     within: np.ndarray  # that of a document of one letter, which falls with the letters
-    z: float = np.inf  # standard deviations beyond the mean at which a document is rejected
+    z: np.ndarray  # standard deviations beyond the mean at which a document is rejected
 
     @staticmethod
     def fit(counts: list[Counter], languages: list[str], order: int) -> Model:
@@ -134,7 +136,7 @@ class Model:
             logp.append(np.log(prob).astype(np.float32))
             contexts.append(context[order_[first]])
             backoff.append(np.log(weight_).astype(np.float32))
-        return Model(order, languages, grams, logp, contexts, backoff, floor, *(np.zeros(len(counts)) for _ in range(3)))
+        return Model(order, languages, grams, logp, contexts, backoff, floor, *(np.zeros(len(counts)) for _ in range(3)), np.full(len(counts), np.inf))
 
     def cost(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each word in each language, and how many letters (with the end mark) they are over; 0 without a letter."""
@@ -177,9 +179,19 @@ class Model:
 
     def accepts(self, entropy: np.ndarray, letters: np.ndarray, language: np.ndarray) -> np.ndarray:
         """Is a document's cross-entropy within what its language's own documents reach?"""
-        if self.z == np.inf:
-            return np.ones(len(entropy), bool)
-        return entropy <= self.mean[language] + self.z * np.sqrt(self.between[language] + self.within[language] / np.maximum(1, letters))
+        if not self.languages:
+            return np.zeros(len(entropy), bool)
+        return entropy <= self.mean[language] + self.z[language] * np.sqrt(self.between[language] + self.within[language] / np.maximum(1, letters))
+
+    def calibrate(self, language: int, entropy: np.ndarray, letters: np.ndarray, spread: np.ndarray, rate: float) -> None:
+        """Set what a language accepts from documents of its own."""
+        if len(entropy) < 5:
+            return
+        self.mean[language], self.within[language] = entropy.mean(), spread.mean()
+        self.between[language] = max(entropy.var() - (spread / letters).mean(), 0.1 * entropy.var())
+        z = (entropy - self.mean[language]) / np.sqrt(self.between[language] + self.within[language] / letters)
+        most = np.quantile(z, 0.95)
+        self.z[language] = most + (z[z > most] - most).mean() * np.log(max(1.0, 0.05 / rate)) if (z > most).any() else np.inf
 
 
 def _slices(column: pa.Array, size: int) -> list[tuple[int, int]]:
@@ -218,20 +230,21 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, order: int = 5, rate: float = 1e-6) -> Model:
+def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, calibration: int = 2000, order: int = 5, rate: float = 1e-9) -> Model:
     """The models of all languages, from about ``sample`` documents of each."""
     able = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = able.groupBy("lang").count().collect()
     if not sizes:
         return fit({}, order)
-    share = F.create_map(*(F.lit(x) for row in sizes for x in (row["lang"], min(1.0, sample / row["count"]))))
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("id")), F.lit(1_000_003)) / 1_000_003.0
-    drawn = able.where(draw < share[F.col("lang")]).withColumn("back", F.pmod(F.xxhash64(F.lit("calibration"), F.col("id")), F.lit(5)) == 0)
-    words = drawn.where("not back").select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    back = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id")), F.lit(5)) == 0
+
+    def share(most: float) -> F.Column:
+        return F.create_map(*(F.lit(x) for row in sizes for x in (row["lang"], min(1.0, most / row["count"]))))[F.col("lang")]
+
+    words = able.where(~back & (draw < share(sample))).select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     packed = words.select(F.lit(0).alias("all"), "lang", "word", "n").groupBy("all").applyInArrow(lambda t: _fit(t, order), "model binary").collect()
     model = pickle.loads(packed[0]["model"]) if packed else fit({}, order)
-    if not model.languages:
-        return model
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,19 +253,18 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         for whole in batches:
             for a, b in _slices(whole["text"], 2_000_000):
                 batch = whole.slice(a, b - a)
-                own = np.array([place.get(k, 0) for k in batch["lang"].to_pylist()])
+                own = np.array([place[k] for k in batch["lang"].to_pylist()])
                 entropy, n, spread = m.entropy(*T.texts(batch["text"]))
                 row = np.arange(len(n))
                 yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(entropy[row, own]), pa.array(n), pa.array(spread[row, own])], ["lang", "entropy", "letters", "spread"])
 
-    seen = drawn.where("back").select("lang", "text").mapInArrow(reached, "lang string, entropy double, letters double, spread double").where("letters >= 20")
-    stats = {r["lang"]: r for r in seen.groupBy("lang").agg(F.avg("entropy").alias("mean"), F.var_pop("entropy").alias("all"), F.avg("spread").alias("within"), F.avg(F.col("spread") / F.col("letters")).alias("part"), F.count("*").alias("n")).collect()}
+    if model.languages:
+        aside = able.where(back & (draw < share(5 * calibration)) & F.col("lang").isin(model.languages)).select("lang", "text")
+        seen = aside.mapInArrow(reached, "lang string, entropy double, letters double, spread double").where("letters >= 20").toArrow().sort_by("entropy")
+        for k, name in enumerate(model.languages):
+            own = seen.filter(pa.compute.equal(seen["lang"], name))
+            model.calibrate(k, *(own[c].to_numpy() for c in ("entropy", "letters", "spread")), rate)
     shared.destroy()
-    if all(k in stats and stats[k]["n"] >= 5 for k in model.languages):
-        model.mean = np.array([stats[k]["mean"] for k in model.languages])
-        model.within = np.array([stats[k]["within"] for k in model.languages])
-        model.between = np.array([max(stats[k]["all"] - stats[k]["part"], 0.1 * stats[k]["all"]) for k in model.languages])
-        model.z = NormalDist().inv_cdf(1 - rate)
     return model
 
 

@@ -206,8 +206,8 @@ def test_costs_equal_plain_kneser_ney(order):
 def test_rejection_is_calibrated(spark):
     """Documents like those learned pass at any length, but for the stated share; others don't."""
     docs = spark.createDataFrame(language_rows(2000), "doc_id long, text string, lang string")
-    for rate, low, high in ((0.05, 0.02, 0.1), (1e-6, 0, 0.001)):
-        out = langid.identify(docs, langid.learn(docs, rate=rate))
+    for rate, low, high in ((0.05, 0.02, 0.1), (1e-9, 0, 0)):
+        out = langid.identify(docs, langid.learn(docs, rate=rate, calibration=10_000))
         refused = out.where("held_out and not accepted").count() / out.where("held_out").count()
         assert low <= refused <= high
     other = spark.createDataFrame([(k, " ".join("".join(x) for x in np.random.default_rng(k).choice(list("qxzwkvjпдя"), (8 + k, 6))), None) for k in range(50)], "doc_id long, text string, lang string")
