@@ -100,3 +100,15 @@ def wilson(k: str, n: str, z: float = 1.96) -> tuple[Column, Column]:
     p, s = F.try_divide(k_, n_), z * z
     middle, spread = F.try_divide(p + F.try_divide(F.lit(s), 2 * n_), 1 + F.try_divide(F.lit(s), n_)), F.try_divide(z * F.sqrt(F.try_divide(p * (1 - p), n_) + F.try_divide(F.lit(s), 4 * n_ * n_)), 1 + F.try_divide(F.lit(s), n_))
     return middle - spread, middle + spread
+
+
+def running_offsets(pieces: str, gap: int = 0, chunk: int = 512) -> str:
+    """SQL of the code-point offset at which each piece of an array column begins; ``gap`` characters stand between pieces.
+
+    Arrays grow by copying, so sums run within chunks and over the chunks' totals: n * chunk steps, not n * n.
+    """
+    parts = f"sequence(0, greatest(size({pieces}) - 1, 0) div {chunk})"
+    inner = f"transform({parts}, c -> aggregate(slice({pieces}, c * {chunk} + 1, {chunk}), named_struct('at', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + char_length(x) + {gap}, 'out', array_append(a.out, a.at))))"
+    before = "aggregate(parts, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, p) -> named_struct('at', a.at + p.at, 'out', array_append(a.out, a.at)), a -> a.out)"
+    # an array of one, transformed, names a value that is used twice
+    return f"transform(array({inner}), parts -> flatten(zip_with(parts, {before}, (p, o) -> transform(p.out, x -> x + o))))[0]"

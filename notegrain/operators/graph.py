@@ -6,20 +6,9 @@ depth asked for. Reached pairs are written to the shared folder after each hop,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="notegrain-")
-    path = f"{folder.rstrip('/')}/notegrain/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import written
 
 
 def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -29,7 +18,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
     """
     if max_depth is not None and max_depth < 1:
         raise ValueError(f"max_depth must be 1 or more, or None: {max_depth}")
-    frontier = _written(starts.select("sab", "origin", "node").distinct())
+    frontier = written(starts.select("sab", "origin", "node").distinct(), "closure")
     seen, hops = [frontier.withColumn("hops", F.lit(0))], 0
     while (max_depth is None or hops < max_depth) and not frontier.isEmpty():
         hops += 1
@@ -37,7 +26,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
         for s in seen[1:]:
             known = known.unionByName(s)
         step = frontier.join(edges, ["sab", "node"]).select("sab", "origin", F.col("next").alias("node")).distinct()
-        frontier = _written(step.join(known.select("sab", "origin", "node"), ["sab", "origin", "node"], "left_anti"))
+        frontier = written(step.join(known.select("sab", "origin", "node"), ["sab", "origin", "node"], "left_anti"), "closure")
         seen.append(frontier.withColumn("hops", F.lit(hops)))
     out = seen[0]
     for s in seen[1:]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.expressions import slice_text
+from ..functions.expressions import running_offsets, slice_text
 from ..model import mention_id
 
 
@@ -33,17 +33,16 @@ def match_terms(docs: DataFrame, lexicon: DataFrame, engine: str = "broad", long
     term are separated by one character, as written in the term.  ``ord`` numbers a document's mentions by span, then concept.
     """
     pieces = docs.select("doc_seq", "doc_id", F.regexp_extract_all("text", F.lit(r"(?U)\w+|\W+"), F.lit(0)).alias("pieces"))
-    at = "aggregate(pieces, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + char_length(x), 'out', array_append(a.out, a.at)), a -> a.out)"
-    pieces = pieces.withColumn("at", F.expr(at))
+    # words and what stands between them alternate, so every second piece is a word: no gram needs a look at its ends
+    pieces = pieces.where("size(pieces) > 0").select("*", F.expr(running_offsets("pieces")).alias("at"), F.expr("if(pieces[0] rlike r'(?U)^\\w', 1, 2)").alias("first"))
     spans = ", ".join(
-        f"transform(sequence(1, greatest(size(pieces) - {2 * n - 2}, 1)), i -> named_struct('start', try_element_at(at, i), 'surface', array_join(slice(pieces, i, {2 * n - 1}), '')))" for n in range(1, longest + 1)
+        f"if(size(pieces) >= first + {2 * n - 2}, transform(sequence(first, size(pieces) - {2 * n - 2}, 2), i -> named_struct('start', at[i - 1], 'surface', array_join(slice(pieces, i, {2 * n - 1}), ''))), array())" for n in range(1, longest + 1)
     )
-    grams = pieces.select("doc_seq", "doc_id", F.expr(f"inline(filter(concat({spans}), x -> x.surface rlike '(?U)^\\\\w' and x.surface rlike '(?U)\\\\w$'))"))
-    grams = grams.withColumn("key", F.lower("surface")).distinct()
-    hit = grams.join(lexicon.withColumnRenamed("term", "matched_term"), F.col("key") == F.col("matched_term"))
+    grams = pieces.select("doc_seq", "doc_id", F.expr(f"inline(concat({spans}))")).withColumn("key", F.lower("surface"))
     types = [F.array_sort("semantic_types").alias("semantic_types")] if "semantic_types" in lexicon.columns else []
+    terms = lexicon.groupBy(F.col("term").alias("matched_term"), "cui").agg(*(F.min(c).alias(c) for c in lexicon.columns if c not in ("term", "cui")))
+    hit = grams.join(terms, F.col("key") == F.col("matched_term"))
     hit = hit.select("doc_seq", "doc_id", "start", (F.col("start") + F.char_length("surface")).cast("int").alias("end"), F.col("surface").alias("text"), "cui", "preferred_name", "semantic_group", "matched_term", *types, F.lit(engine).alias("engine"))
-    hit = hit.dropDuplicates(["doc_seq", "start", "end", "cui"])
     return hit.withColumn("ord", F.row_number().over(Window.partitionBy("doc_seq").orderBy("start", "end", "cui")) - 1).withColumn("mention_id", mention_id("doc_id", "start", "end", "cui"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expressions import slice_text, strip
+from ..functions.expressions import running_offsets, slice_text, strip
 
 # Fixed values of the annotation guidelines: semantic types that are never clinical content.
 OUT_OF_SCOPE_TYPES = (
@@ -49,9 +49,8 @@ def headings(docs: DataFrame) -> DataFrame:
     Lines are split at ``\\n`` only; a label has at most four words that each begin upper-case or with no letter, and is a heading
     if nothing follows its colon, if it is in capitals, or if it is a known section name.
     """
-    offsets = "aggregate(lines, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + char_length(x) + 1, 'out', array_append(a.out, a.at)), a -> a.out)"
-    lines = docs.where(F.col("text").contains(":")).select("doc_seq", F.split("text", "\n", -1).alias("lines")).withColumn("at", F.expr(offsets))
-    lines = lines.select("doc_seq", F.expr("inline(filter(arrays_zip(lines, at), x -> x.lines rlike '^[ \\\\t]*[A-Za-z][^:]{0,60}:'))"))
+    lines = docs.where(F.col("text").contains(":")).select("doc_seq", F.split("text", "\n", -1).alias("lines")).withColumn("at", F.expr(running_offsets("lines", 1)))
+    lines = lines.select("doc_seq", F.expr("inline(filter(arrays_zip(lines, at), x -> x.lines rlike '^[ \\\\t]*[A-Za-z]' and contains(x.lines, ':')))"))
     label, rest = F.regexp_extract("lines", LABEL, 1), F.regexp_extract("lines", LABEL, 2)
     found = lines.select("doc_seq", "lines", "at", label.alias("label"), rest.alias("rest")).where("label <> ''")
     lead = F.char_length(F.regexp_extract("lines", r"^[ \t]*", 0))

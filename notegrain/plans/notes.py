@@ -32,7 +32,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NOTES = """
 lines AS (SELECT l_orderkey, min(l_partkey) p1, max(l_partkey) p2, min(l_returnflag) flag FROM lineitem GROUP BY 1),
-notes AS (
+notes AS MATERIALIZED (
   SELECT o_orderkey doc_seq, 'note-' || o_orderkey doc_id,
     'CHIEF COMPLAINT: ' || a.p_name || chr(10) || CASE flag WHEN 'A' THEN 'Patient has no ' WHEN 'N' THEN 'Possible ' ELSE 'Patient has ' END || a.p_name || '. '
     || CASE o_orderstatus WHEN 'F' THEN 'History of ' WHEN 'O' THEN 'Mother with ' ELSE 'Denies ' END || b.p_name || ', today.' || chr(10)
@@ -52,7 +52,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEXICON = """
-lexicon AS (
+lexicon AS MATERIALIZED (
   SELECT term, 'C' || lpad(CAST(row_number() OVER (ORDER BY term) AS VARCHAR), 7, '0') cui, upper(term) preferred_name, 'DISORDER' semantic_group, 'T047' tui FROM (SELECT DISTINCT p_name term FROM part)
   UNION ALL
   SELECT term, 'C1' || lpad(CAST(row_number() OVER (ORDER BY term) AS VARCHAR), 6, '0'), upper(term), 'FINDING', CASE WHEN term IN ('ring', 'rod') THEN 'T079' ELSE 'T033' END FROM (SELECT DISTINCT split_part(p_name, ' ', 2) term FROM part)
@@ -83,12 +83,12 @@ hits AS (
   UNION ALL SELECT doc_seq, doc_id, note, CAST(start AS INTEGER), piece || gap || other, lower(piece || gap || other) FROM tokens WHERE other IS NOT NULL
 ),
 found AS (SELECT doc_seq, doc_id, note, start, CAST(start + length(text) AS INTEGER) AS "end", text, cui, preferred_name, semantic_group, tui FROM hits JOIN lexicon USING (term)),
-scoped AS (SELECT *, left(note, start) AS before, regexp_extract(lower(left(note, start)), '[^.!?\\n]*$') AS sentence FROM found),
-broad AS (
+scoped AS MATERIALIZED (SELECT *, left(note, start) AS before, regexp_extract(lower(left(note, start)), '[^.!?\\n]*$') AS sentence FROM found),
+broad AS MATERIALIZED (
   SELECT doc_seq, doc_id, note, start, "end", text, cui, preferred_name, semantic_group, tui, contains(lower(string_split(before, '.')[-1]), 'no ') AS negated,
     row_number() OVER (PARTITION BY doc_seq ORDER BY start, "end", cui) - 1 AS ord FROM scoped
 ),
-clinical AS (
+clinical AS MATERIALIZED (
   SELECT doc_seq, doc_id, note, start, CAST(CASE WHEN substring(note, "end" + 1, 1) = ',' THEN "end" + 1 ELSE "end" END AS INTEGER) AS "end",
     CASE WHEN substring(note, "end" + 1, 1) = ',' THEN text || ',' ELSE text END AS text, "end" AS te, cui, preferred_name, semantic_group,
     regexp_matches(sentence, '\\b(no|denies|denied|without|not)\\b') AS negated,

@@ -25,7 +25,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Whole files; folders give their .txt and .text files at any depth, by path."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     text, replaced = decode()
-    return rows.select(F.col("path").alias("doc_id"), text.alias("text"), replaced.alias("replaced"), "path", F.lit(None).cast("bigint").alias("line_no"))
+    return rows.select(F.col("path").alias("doc_id"), text.alias("text"), replaced.alias("replaced"), F.col("_metadata.file_path").alias("path"), F.lit(None).cast("bigint").alias("line_no"))
 
 
 def is_text(path: str = "path") -> Column:
@@ -52,17 +52,19 @@ def reused_hashes(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(before.select("path", "length", "modificationTime", "sha256"), ["path", "length", "modificationTime"], "left")
 
 
-def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, errors) of a JSON-lines file, plain or gzip.
+def read_lines(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of JSON-lines files, plain or gzip.
 
     A record is an object with a string ``text``; its key is ``id``, else ``doc_id``, else name:line, where an empty string is no key but 0 is. Blank lines
     are passed over. Errors name the line and its type: JSONDecodeError, KeyError or TypeError; never the text.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("raw"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
-    # a line's number is its place in its partition after the lines of the file's earlier partitions
-    counts = lines.groupBy("path", "part").agg(F.count("*").alias("rows"), F.min("n").alias("least"))
-    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.join(counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))), ["path", "part"]).withColumn("line_no", F.col("before") + F.col("n") - F.col("least") + 1)
+    at = [F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("lineSep", "\n").text(paths).select(*at, F.col("value").cast("binary").alias("raw"), F.monotonically_increasing_id().alias("n"))
+    # a line's number is its place in its block of the file, after the lines of the file's earlier blocks. Blocks are cut and read in
+    # one way by every scan of the files; no exchange stands between a scan and these numbers
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("rows"), F.min("n").alias("least"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.join(counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))), ["path", "block"]).withColumn("line_no", F.col("before") + F.col("n") - F.col("least") + 1)
     text, replaced = decode("raw")
     rows = lines.select("name", "path", "line_no", text.alias("value"), replaced.alias("replaced")).where(F.regexp_replace("value", r"(?U)\s+", "") != "")
     rows = rows.withColumn("v", F.try_parse_json("value")).withColumn("kind", F.schema_of_variant("v"))
@@ -80,37 +82,80 @@ def read_stdin(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("stdin", sys.stdin.read(), 0, None, None)], DOCUMENTS)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``doc_seq``: a number by path and line, dense only within partitions; tells documents with one key apart."""
-    return docs.repartitionByRange("path", "line_no").sortWithinPartitions("path", "line_no").withColumn("doc_seq", F.monotonically_increasing_id())
+#: Lines that one file may have without meeting the numbers of the next.
+_FILE_LINES = 2**36
+
+
+def numbered(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """``doc_seq``: a number that rises in input order (by file and line), and tells documents with one key apart.
+
+    It is a function of (path, line_no) and of the list of files (path, arg: the place of the argument that named it), never of how
+    a plan deals out rows, so a document has the same number wherever it is read again. One row for each file goes through one task.
+    """
+    order = files.groupBy(F.col("path").alias("__path")).agg(F.min("arg").alias("arg"))
+    order = order.select("__path", F.row_number().over(Window.orderBy("arg", "__path")).cast("bigint").alias("__file"))
+    out = docs.join(order, docs["path"].eqNullSafe(order["__path"]))
+    return out.withColumn("doc_seq", F.col("__file") * F.lit(_FILE_LINES) + F.coalesce("line_no", F.lit(0))).drop("__path", "__file")
 
 
 def auto_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Missing keys as doc-000001 and so on; the number counts all documents, also those with their own key."""
-    n = F.row_number().over(Window.orderBy("doc_seq"))
-    return docs.withColumn("__n", n).withColumn(key, F.coalesce(key, F.format_string("doc-%06d", "__n"))).drop("__n")
+    """Missing keys as doc-000001 and so on; the number counts all documents, also those with their own key.
+
+    A document's number is its place among those of its file, after the documents of earlier files: a window over one file at a time and
+    one over the files.
+    """
+    rows = docs.withColumn("__file", F.shiftright("doc_seq", 36))
+    counts = rows.groupBy("__file").agg(F.count("*").alias("__rows"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(counts.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")), "__file")
+    n = F.col("__before") + F.row_number().over(Window.partitionBy("__file").orderBy("doc_seq"))
+    return rows.withColumn("__n", n).withColumn(key, F.coalesce(key, F.format_string("doc-%06d", "__n"))).drop("__file", "__n", "__before")
+
+
+def _listed(spark: SparkSession, paths: list[str], args: list[str]) -> DataFrame:
+    """(path, arg) of the files at these paths, folders at any depth; no content is read. arg: the first argument that names a file or its folder."""
+    named = [(k, spark._jvm.org.apache.hadoop.fs.Path(p)) for k, p in enumerate(args) if p in paths]
+    whole = [(k, str(p.getFileSystem(spark._jsc.sc().hadoopConfiguration()).makeQualified(p).toString())) for k, p in named]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted({*paths})).select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("plain"))
+    by = spark.createDataFrame(whole, "arg int, named string")
+    return files.join(F.broadcast(by), (F.col("plain") == F.col("named")) | F.col("plain").startswith(F.concat("named", F.lit("/")))).select("path", "arg")  # as many rows as arguments
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).getFileStatus(target).isDirectory()
 
 
 def read_documents(spark: SparkSession, paths: list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All documents of files, folders, JSON lines and "-" (standard input), with the errors; strict: an error raises."""
-    good, bad, plain = [], [], []
-    for p in paths:
-        if p == "-":
-            good.append(read_stdin(spark))
-        elif is_lines(p):
-            docs, errors = read_lines(spark, p)
-            good.append(docs)
-            bad.append(errors)
-        else:
-            plain.append(p)
-    if plain:
-        files = read_files(spark, plain)
-        named = [p for p in plain if p.lower().endswith((".txt", ".text")) or "." in p.rsplit("/", 1)[-1]]
-        good.append(files if len(named) == len(plain) else files.where(is_text()))
+    """All documents of files, folders, JSON lines and "-" (standard input), with the errors; strict: an error raises.
+
+    A file that is named is read whatever its suffix; a folder, whatever its name, gives its .txt and .text files. A file named twice, or
+    named and in a folder, is read once.
+    """
+    good, bad, files = [], [], []
+    lines = [p for p in paths if p != "-" and is_lines(p) and not _is_folder(spark, p)]
+    plain = [p for p in paths if p != "-" and p not in lines]
+    folders = [p for p in plain if _is_folder(spark, p)]
+    named = [p for p in plain if p not in folders]
+    if "-" in paths:
+        good.append(read_stdin(spark))
+        files.append(good[-1].select("path", F.lit(paths.index("-")).alias("arg")))
+    if lines:
+        docs, errors = read_lines(spark, lines)
+        good.append(docs)
+        bad.append(errors)
+        files.append(_listed(spark, lines, paths))
+    if named:
+        good.append(read_files(spark, sorted({*named})))
+        files.append(_listed(spark, named, paths))
+    if folders:
+        inside = read_files(spark, sorted({*folders})).where(is_text()).dropDuplicates(["path"])
+        good.append(inside.join(good[-1].select("path"), "path", "left_anti").select(inside.columns) if named else inside)
+        files.append(_listed(spark, folders, paths))
     errors = reduce(DataFrame.unionByName, bad) if bad else spark.createDataFrame([], "doc_key string, stage string, error_type string")
     if strict and (first := errors.first()):
         raise ValueError(f"{first['doc_key']}: {first['error_type']}")
-    return numbered(reduce(DataFrame.unionByName, good)), errors
+    return numbered(reduce(DataFrame.unionByName, good), reduce(DataFrame.unionByName, files)), errors
 
 
 def limited(docs: DataFrame, n: int) -> DataFrame:

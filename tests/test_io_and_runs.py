@@ -201,3 +201,52 @@ def test_ids_equal_pythons(spark):
     row = spark.createDataFrame([("d|x", 3, 13, "C1")], "doc_id string, start int, end int, cui string").select(model.mention_id("doc_id", "start", "end", "cui"), model.hash63(F.col("doc_id"))).first()
     assert row[0] == hashlib.sha256("d|x\x1f3\x1f13\x1fC1".encode()).hexdigest()[:16]
     assert row[1] == int.from_bytes(hashlib.sha256(b"d|x").digest()[:8], "big") & (2**63 - 1)
+
+
+def test_numbers_and_lines_hold_on_both_sides_of_a_join(spark, tmp_path):
+    """Many small blocks and partitions, no broadcast: a document has one number, wherever it is read."""
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1000)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        for name in ("b 1.jsonl", "a.jsonl"):
+            (tmp_path / name).write_text("".join(json.dumps({"text": f"{name} {k} " + "x" * (k % 50)}) + "\n" for k in range(3000)))
+        docs, _ = readers.read_documents(spark, [str(tmp_path / "b 1.jsonl"), str(tmp_path / "a.jsonl")])
+        other = docs.groupBy("doc_seq").agg(F.min("text").alias("other"), F.count("*").alias("n"))
+        both = docs.repartition(5, "text").join(other, "doc_seq", "full").collect()
+        assert len(both) == 6000 and all(r.text == r.other and r.n == 1 for r in both)
+        assert all(r.line_no == int(r.text.rsplit(" ", 2)[-2]) + 1 for r in both)
+        in_order = [r.text.rsplit(" ", 2)[0] for r in sorted(both, key=lambda r: r.doc_seq)]
+        assert in_order == ["b 1.jsonl"] * 3000 + ["a.jsonl"] * 3000
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_folder_and_a_named_file(spark, tmp_path):
+    folder = tmp_path / "v1.2 notes"
+    (folder / "deep").mkdir(parents=True)
+    for name, text in (("deep/b.txt", "B"), ("a.TXT", "A"), ("c.md", "C"), ("d.csv", "D")):
+        (folder / name).write_text(text)
+    (tmp_path / "x.md").write_text("X")
+    found = lambda *paths: [r.text for r in readers.read_documents(spark, list(paths))[0].orderBy("doc_seq").collect()]
+    assert found(str(folder)) == ["A", "B"]
+    assert found(str(tmp_path / "x.md"), str(folder), str(folder / "c.md")) == ["X", "A", "C", "B"]
+    assert found(str(folder), str(folder / "a.TXT"), str(tmp_path / "x.md")) == ["A", "B", "X"]
+
+
+def test_sequential_ids_number_every_row_once(spark):
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        rows = spark.range(400_000).select(F.expr("id * 7919 % 400009 doc_seq"), F.lit(0).alias("ord"), F.repeat(F.lit("x"), F.expr("int(id % 40)")).alias("pad"))
+        out = omop.sequential_ids(rows, ["doc_seq", "ord"])
+        assert out.count() == 400_000
+        again = out.select(F.col("note_nlp_id").alias("n"), "doc_seq").join(out.select("note_nlp_id", F.col("doc_seq").alias("d")), F.col("n") == F.col("note_nlp_id"))
+        row = again.agg(F.count("*"), F.min("n"), F.max("n"), F.count_if(F.col("d") == F.col("doc_seq"))).first()
+        assert tuple(row) == (400_000, 1, 400_000, 400_000)
+        falls = out.orderBy("note_nlp_id").select("doc_seq").toPandas()["doc_seq"]
+        assert falls.is_monotonic_increasing
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", keep)
