@@ -287,7 +287,7 @@ def _hub_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -
     sizes = stars.groupBy("hub").agg(F.ceil(F.sum("n") / _TILE).cast("int").alias("tiles"))
     dealt = stars.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", F.lit(False).alias("is_hub"))
     heads = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("hub").alias("node"), F.lit(True).alias("is_hub"))
-    both = dealt.unionByName(heads).join(texts, "node")
+    both = dealt.unionByName(heads).hint("merge").join(texts, "node")
     links = written(both.groupBy("hub", "tile").applyInArrow(lambda t: _stars(t, words, percent), "a bigint, b bigint"), "verified")
     discard(stars)
     return links
@@ -303,11 +303,11 @@ def _open_links(members: DataFrame, found: DataFrame, sketches: DataFrame, texts
     left = label.join(open_bands, "band").withColumn("half", F.when(own, F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others"))).cast("int"))
     # the main component's chunks meet the others' only
     dealt = left.withColumn("other", F.explode(F.sequence(F.when(own, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
-    dealt = dealt.select("band", F.least("half", "other").cast("int").alias("low"), F.greatest("half", "other").cast("int").alias("high"), "node", "component", "n", "half").join(sketches, "node")
+    dealt = dealt.select("band", F.least("half", "other").cast("int").alias("low"), F.greatest("half", "other").cast("int").alias("high"), "node", "component", "n", "half").hint("merge").join(sketches, "node")
     schema = "band bigint, low int, high int, tile bigint, node bigint, place int, partners binary"
     marked = written(dealt.groupBy("band", "low", "high").applyInArrow(lambda key, t: _marked(key, t, rows, percent / 100 - 0.14, percent), schema), "marked")
     discard(label)
-    links = written(marked.join(texts, "node").groupBy("band", "low", "high", "tile").applyInArrow(lambda t: _marked_links(t, words, percent), "a bigint, b bigint"), "verified")
+    links = written(marked.hint("merge").join(texts, "node").groupBy("band", "low", "high", "tile").applyInArrow(lambda t: _marked_links(t, words, percent), "a bigint, b bigint"), "verified")
     discard(marked)
     return links
 
@@ -333,15 +333,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     members = written(members.join(shared.select("band"), "band").select("band", "node", "n"), "members")
+    # the texts that any comparison needs, brought together once; a merge join at every size, as it must be at the largest
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("node"), "text")
+    texts = written(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
 
     first = _hub_links(members, texts, words, percent)
     found = components(first)
     sketches = own.select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"])
     second = _open_links(members, found, sketches, texts, words, rows, percent)
-    discard(members)
+    discard(members, texts)
     if not second.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
+    discard(first, second)
 
     named = classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
     linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", "component_id")

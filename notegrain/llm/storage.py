@@ -1,45 +1,5 @@
-"""Where intermediate tables go: the folder that the cluster names, which all executors share."""
+"""Intermediate tables of the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
-
-from pyspark.sql import DataFrame, SparkSession
-
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only in a local session, where every executor sees it."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            return have.get()
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="notegrain-")
-    return folder
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/notegrain/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more: what came of them is written itself."""
-    for df in tables:
-        path = _paths.pop(df, None)
-        if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
+from ..scratch import discard as discard, shared_folder as shared_folder, written as written
