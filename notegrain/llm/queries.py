@@ -32,7 +32,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan_secrets(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
+    return secrets.digests(secrets.scan_secrets(_read(spark, sf_dir, "documents", "doc_id", "text"), path="doc_id").drop("text"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

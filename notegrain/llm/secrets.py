@@ -1,28 +1,28 @@
 """Secret scans over an incremental blob ledger, in DataFrame and SQL functions only.
 
 Every historical version of a document is content-addressed: a *blob* is the SHA-256 of its text.
-The ledger is a folder with two tables, ``seen`` (blob, rule, version) and ``findings`` (blob, kind,
-start, end).  A scan takes the distinct blobs of the documents, leaves out every pair of blob and
-rule version that ``seen`` holds, scans the rest, appends to both tables, and joins findings back to
-all documents (paths) that carry the blob.  So a copy costs nothing, and a new rule version rescans
-each blob for that rule alone.
+The ledger is a folder with three tables: ``versions`` (path, version, blob), a path's texts in the order in which scans met
+them; ``seen`` (blob, rule, version of the rule); and ``findings`` (blob, rule, kind, start, end).  A scan adds the versions it
+hasn't met, takes the distinct blobs, leaves out every pair of blob and rule version that ``seen`` holds, scans the rest,
+appends to the tables, and joins findings back to all paths that carry the blob.  So a copy or a text that comes
+back costs nothing, and a new rule version rescans each blob for that rule alone.
 
-Offsets come from the pieces between matches: with k pieces before it, a match begins after the
-lengths of those pieces and of the matches between them, in code points.
+Offsets come from the pieces between matches: a match begins after the lengths of the pieces before it and of the matches between
+them, in code points; a window sums them by blob and kind, so a text with many matches costs no more than their number.
 
-Defined results: null text is the empty blob, without findings; rows may repeat; other columns are ignored, whatever their
-names; an empty table gives no rows.
+Defined results: null text is the empty blob, without findings; rows may repeat; a column of the input named ``spans`` is replaced, all others
+stay, whatever their names; a null path has no versions; of versions that one scan meets, the blob orders them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .storage import shared_folder
 
@@ -56,30 +56,25 @@ ADDED = (
 )
 
 
+def _sizes(place: int) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.struct(F.lit(place).alias("place"), i.alias("i"), F.char_length(x["p"]).alias("gap"), F.char_length(x["m"]).alias("size"), F.char_length(x["g"]).alias("value"))
+
+
 def _findings(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(blob, kind, start, end) of the blobs (blob, text, todo: the keys of rules to run)."""
     wanted = [F.array_contains("todo", r.key) & F.col("text").rlike(r.pattern) for r in rules]
     hit = blobs.select("blob", "text", *(w.alias(f"h{k}") for k, w in enumerate(wanted))).where(reduce(lambda a, b: a | b, [F.col(f"h{k}") for k in range(len(rules))]))
-    nothing = F.array().cast("array<string>")
-    columns = []
-    for k, r in enumerate(rules):
-        on = F.col(f"h{k}")
-        columns += [
-            F.when(on, F.split("text", r.pattern, -1)).otherwise(nothing).alias(f"p{k}"),
-            F.when(on, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(nothing).alias(f"m{k}"),
-            F.when(on, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))).otherwise(nothing).alias(f"g{k}"),
-        ]
-    parts = hit.select("blob", *columns)
-    found = []
+    parts = []
     for k, r in enumerate(rules):
-        # the last piece follows the last match, so its row of the zip has no match and is passed over
-        walk = (
-            f"aggregate(arrays_zip(p{k}, m{k}, g{k}), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>)), "
-            f"(a, x) -> named_struct('at', a.at + char_length(x.p{k}) + coalesce(char_length(x.m{k}), 0), 'out', if(char_length(x.g{k}) >= {r.least}, "
-            f"concat(a.out, array(named_struct('start', a.at + char_length(x.p{k}), 'end', a.at + char_length(x.p{k}) + char_length(x.m{k})))), a.out)), a -> a.out)"
-        )
-        found.append(f"transform({walk}, x -> named_struct('kind', '{r.kind}', 'start', x.start, 'end', x.end))")
-    return parts.selectExpr("blob", f"inline(concat({', '.join(found)}))")
+        # the last piece follows the last match, so its row of the zip has no match
+        pieces, whole, value = F.split("text", r.pattern, -1), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))
+        rows = F.transform(F.arrays_zip(pieces.alias("p"), whole.alias("m"), value.alias("g")), _sizes(k))
+        parts.append(F.when(F.col(f"h{k}"), rows).otherwise(F.array().cast("array<struct<place:int,i:int,gap:int,size:int,value:int>>")))
+    found = hit.select("blob", F.inline(F.concat(*parts)))
+    up_to = Window.partitionBy("blob", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(up_to).cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("place") + 1)
+    return found.where(F.col("value") >= least).select("blob", F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("place") + 1).alias("kind"), "start", "end")
 
 
 class Ledger:
@@ -91,7 +86,7 @@ class Ledger:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -103,48 +98,72 @@ class Ledger:
     def findings(self) -> DataFrame:
         return self._table("findings", "blob binary, rule string, kind string, start int, end int")
 
-    def scan(self, docs: DataFrame, rules: Sequence[Rule], text: str) -> None:
-        """Scan what is new. Findings are written before ``seen``: a scan cut short is done again, and reading drops repeats."""
+    def versions(self) -> DataFrame:
+        return self._table("versions", "path string, version int, blob binary")
+
+    def history(self) -> DataFrame:
+        """(path, version, rule, kind, start, end): findings of every version of every path, also of texts that no document has any more."""
+        return self.versions().join(self.findings().distinct(), "blob").select("path", "version", "rule", "kind", "start", "end")
+
+    def scan(self, docs: DataFrame, rules: Sequence[Rule], text: str, path: str | None = None) -> DataFrame:
+        """Scan what is new, and return the pairs (blob, rule) that were. Findings are written before ``seen``: a scan cut short is done again, and reading drops repeats."""
         blobs = _blobs(docs, text).groupBy("blob").agg(F.any_value("text").alias("text"))
         keys = F.array(*(F.lit(r.key) for r in rules))
-        try:
-            known = self.spark.read.parquet(f"{self.folder}/seen").groupBy("blob").agg(F.collect_set("rule").alias("rules"))
-            todo = blobs.join(known, "blob", "left").select("blob", "text", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>"))).alias("todo"))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        known = self.seen()
+        if known.isEmpty():
             todo = blobs.select("blob", "text", keys.alias("todo"))
-        version = F.element_at(F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key))), F.col("kind"))
-        _findings(todo, rules).select("blob", version.alias("rule"), "kind", "start", "end").write.mode("append").parquet(f"{self.folder}/findings")
-        all_ = _blobs(docs, text).select("blob").distinct().select("blob", F.explode(keys).alias("rule"))
-        all_.join(self.seen(), ["blob", "rule"], "left_anti").write.mode("append").parquet(f"{self.folder}/seen")
-
-
-def _blobs(docs: DataFrame, text: str) -> DataFrame:
+        else:
+            known = known.join(blobs.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.collect_set("rule").alias("rules"))
+            todo = blobs.join(known, "blob", "left").select("blob", "text", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>"))).alias("todo")).where("size(todo) > 0")
+        rule = F.element_at(F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key))), F.col("kind"))
+        _findings(todo, rules).select("blob", rule.alias("rule"), "kind", "start", "end").write.mode("append").parquet(f"{self.folder}/findings")
+        if path is not None:
+            self._add_versions(_blobs(docs, text, F.col(path).cast("string").alias("path")).where("path is not null").select("path", "blob").distinct())
+        before = self.seen()
+        new = _blobs(docs, text).select("blob").distinct().select("blob", F.explode(keys).alias("rule"))
+        new = new if before.isEmpty() else new.join(before, ["blob", "rule"], "left_anti")
+        place = f"{self.folder}/seen/scan={uuid.uuid4().hex}"
+        new.write.parquet(place)
+        return self.spark.read.schema("blob binary, rule string").parquet(place)
+
+    def _add_versions(self, now: DataFrame) -> None:
+        """Append the (path, blob) pairs that are new, numbered on from the path's last version."""
+        before = self.versions()
+        if not before.isEmpty():
+            last = before.groupBy("path").agg(F.max("version").alias("last"))
+            now = now.join(before, ["path", "blob"], "left_anti").join(last, "path", "left")
+        else:
+            now = now.withColumn("last", F.lit(0))
+        number = F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("path").orderBy("blob"))
+        now.select("path", number.alias("version"), "blob").write.mode("append").parquet(f"{self.folder}/versions")
+
+
+def _blobs(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.unhex(F.sha2(whole, 256)).alias("blob"), whole.alias("text"))
+    return docs.select(F.unhex(F.sha2(whole, 256)).alias("blob"), whole.alias("text"), *more)
+
 
+def scan_secrets(docs: DataFrame, *, text: str = "text", path: str | None = None, rules: Sequence[Rule] = BASE + ADDED, ledger: Ledger | None = None) -> DataFrame:
+    """The documents with ``spans``: array of (start, place, kind, end, after), by start, then by the order of the rules.
 
-def scan_secrets(docs: DataFrame, *, text: str = "text", rules: Sequence[Rule] = BASE + ADDED, ledger: Ledger | None = None) -> DataFrame:
-    """The documents with ``spans``: array of (start, place, kind, end), by start, then by the order of the rules."""
+    after: where the spans before it end, or 0. path: the column that names a document through its versions; None records no versions.
+    """
     ledger = ledger or Ledger(docs.sparkSession)
-    ledger.scan(docs, rules, text)
+    ledger.scan(docs, rules, text, path)
     place = F.element_at(F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k))), F.col("kind"))
-    found = ledger.findings().where(F.col("rule").isin([r.key for r in rules])).distinct()
-    found = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", place.alias("place"), "kind", "end"))).alias("spans"))
-    nothing = F.array().cast(dict(found.dtypes)["spans"])
+    found = ledger.findings().where(F.col("rule").isin([r.key for r in rules])).distinct().withColumn("place", place)
+    before = Window.partitionBy("blob").orderBy("start", "place", "end").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("after", F.coalesce(F.max("end").over(before), F.lit(0)))
+    found = found.groupBy(F.col("blob").alias("__found")).agg(F.array_sort(F.collect_list(F.struct("start", "place", "kind", "end", "after"))).alias("__spans"))
+    nothing = F.array().cast(dict(found.dtypes)["__spans"])
     own = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    found = found.withColumnRenamed("blob", "__found").withColumnRenamed("spans", "__spans")
-    return own.join(found, own["__blob"] == found["__found"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("__spans", nothing).alias("spans"))
+    return own.join(found, own["__blob"] == found["__found"], "left").select(*(F.col(f"`{c}`") for c in docs.columns if c != "spans"), F.coalesce("__spans", nothing).alias("spans"))
 
 
-def redacted(text: str = "text", spans: str = "spans") -> F.Column:
+def redacted(text: str = "text", spans: str = "spans") -> Column:
     """The text with each span replaced by its kind in brackets; what overlaps an earlier span goes with it."""
-    return F.expr(
-        f"if(size({spans}) = 0, {text}, aggregate({spans}, named_struct('at', 0, 'out', ''), "
-        f"(a, x) -> if(x.end <= a.at, a, named_struct('at', x.end, 'out', if(x.start < a.at, a.out, concat(a.out, substring({text}, a.at + 1, x.start - a.at), '[', x.kind, ']')))), "
-        f"a -> concat(a.out, substring({text}, a.at + 1))))"
-    )
+    mark = "if(x.start < x.after, '', concat(substring({0}, x.after + 1, x.start - x.after), '[', x.kind, ']'))".format(text)
+    return F.expr(f"if(size({spans}) = 0, {text}, concat(array_join(transform({spans}, x -> {mark}), ''), substring({text}, array_max(transform({spans}, x -> x.end)) + 1)))")
 
 
 def digests(scanned: DataFrame, *, doc_id: str = "doc_id", spans: str = "spans") -> DataFrame:

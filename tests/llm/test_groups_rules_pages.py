@@ -174,7 +174,7 @@ SECRETS = [
 
 
 def test_secret_spans_redaction_and_copies(spark, corpus):
-    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(SECRETS * 2)], "doc_id long, text string, spans string").drop("spans").withColumn("blob", F.lit(1)).withColumn("rule", F.lit(2))
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(SECRETS * 2)], "doc_id long, text string, spans string").withColumn("blob", F.lit(1)).withColumn("rule", F.lit(2)).withColumn("place", F.lit(3))
     found = {r.doc_id: r for r in secrets.digests(secrets.scan_secrets(docs)).collect()}
     for k, t in enumerate(SECRETS * 2):
         want = spans(t)
@@ -188,16 +188,29 @@ def test_secret_spans_redaction_and_copies(spark, corpus):
 
 def test_ledger_scans_only_what_is_new(spark):
     docs = lambda *t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
-    ledger = secrets.Ledger(spark)
-    secrets.scan_secrets(docs("0123456789abcdef", "x"), ledger=ledger).count()
-    assert ledger.seen().count() == 2 * len(secrets.BASE + secrets.ADDED)
-    # what the ledger holds is believed, not scanned again
+    ledger, all_ = secrets.Ledger(spark), secrets.BASE + secrets.ADDED
+    assert ledger.scan(docs("0123456789abcdef", "x"), all_, "text", "doc_id").count() == 2 * len(all_)
+    # the same texts again, also under other paths: nothing is scanned
+    assert ledger.scan(docs("0123456789abcdef", "0123456789abcdef", "x"), all_, "text", "doc_id").count() == 0
+    assert ledger.seen().count() == 2 * len(all_) and ledger.findings().count() == 1
+    # a new rule version: each known blob for that rule, a new blob for all
     newer = (secrets.Rule("hex", r"[0-9a-f]{16,}", version=2), *secrets.BASE[:2])
-    secrets.scan_secrets(docs("0123456789abcdef", "fedcba9876543210"), rules=newer, ledger=ledger).count()
-    seen = Counter(r.rule for r in ledger.seen().collect())
-    assert seen["hex@1"] == 2 and seen["hex@2"] == 2 and seen["assign@1"] == 3
-    out = secrets.scan_secrets(docs("0123456789abcdef", "fedcba9876543210", "x"), rules=newer, ledger=ledger)
+    new = Counter(r.rule for r in ledger.scan(docs("0123456789abcdef", "fedcba9876543210"), newer, "text", "doc_id").collect())
+    assert new == {"hex@2": 2, "assign@1": 1, "access@1": 1}
+    out = secrets.scan_secrets(docs("0123456789abcdef", "fedcba9876543210", "x"), rules=newer, ledger=ledger, path="doc_id")
     assert {r.doc_id: len(r.spans) for r in out.collect()} == {0: 1, 1: 1, 2: 0}
+    # path 1 was x, then a copy of path 0's text, then another
+    versions = {(r.path, r.version): hashlib.sha256(t.encode()).digest() == bytes(r.blob) for r in ledger.versions().collect() for t in [{("0", 1): "0123456789abcdef", ("1", 1): "x", ("1", 2): "0123456789abcdef", ("1", 3): "fedcba9876543210", ("2", 1): "x"}[r.path, r.version]]}
+    assert len(versions) == 5 and all(versions.values())
+    assert {(r.path, r.version, r.start, r.end) for r in ledger.history().where("rule = 'hex@2'").collect()} == {("0", 1, 0, 16), ("1", 2, 0, 16), ("1", 3, 0, 16)}
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "é token=abcdefghijkl 0123456789abcdef;" * 3000
+    (r,) = secrets.digests(secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert (r.n_assign, r.n_hex, r.spans) == (3000, 3000, ",".join(spans(text)))
+    (r,) = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(secrets.redacted().alias("t")).collect()
+    assert r.t == "é [assign] [hex];" * 3000
 
 
 def test_mix(spark, corpus):
