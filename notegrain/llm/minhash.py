@@ -137,12 +137,12 @@ def _signed(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link (a, b).
 
     Alternating large-star and small-star rounds, each written to the shared folder, until nothing changes.
     """
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", files)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -151,7 +151,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        before, now = now, written(small, "links")
+        before, now = now, written(small, "links", files)
         discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
@@ -167,7 +167,7 @@ def intersections(ids: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.n
     common = times[code] > 1
     column = np.cumsum(times > 1) - 1
     wide = int((times > 1).sum())
-    if len(left) * 2.0 * n.mean() * 40 > len(n) ** 2 * float(wide):  # many pairs of few shingles: a product of matrices
+    if wide and len(left) * 2.0 * n.mean() * 400 > len(n) ** 2 * float(wide):  # many pairs of few shingles: a product of matrices
         row, col = doc[common], column[code[common]]
         total = np.zeros((len(n), len(n)), np.float32)
         for k in range(0, wide, 2048):
@@ -277,25 +277,25 @@ def _marked_links(table: pa.Table, words: int, percent: int) -> pa.Table:
     return _linked(table["text"], table["node"].to_numpy(), left, right, words, percent)
 
 
-def _hub_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _hub_links(members: DataFrame, texts: DataFrame, words: int, percent: int, files: int) -> DataFrame:
     """Verified links between members and the best hub of their bands."""
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("hub"))).alias("h")).select("band", F.col("h.degree").alias("degree"), F.col("h.hub").alias("hub"))
     best = members.join(hubs, "band").where("node <> -hub").groupBy("node").agg(F.max(F.struct("degree", "hub")).alias("h"), F.max("n").alias("n"))
-    stars = written(best.select("node", (-F.col("h.hub")).alias("hub"), "n"), "stars")
+    stars = written(best.select("node", (-F.col("h.hub")).alias("hub"), "n"), "stars", files)
     # a hub's members are dealt to tiles by the size of their texts, and the hub goes to each tile
     sizes = stars.groupBy("hub").agg(F.ceil(F.sum("n") / _TILE).cast("int").alias("tiles"))
     dealt = stars.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", F.lit(False).alias("is_hub"))
     heads = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("hub").alias("node"), F.lit(True).alias("is_hub"))
     both = dealt.unionByName(heads).hint("merge").join(texts, "node")
-    links = written(both.groupBy("hub", "tile").applyInArrow(lambda t: _stars(t, words, percent), "a bigint, b bigint"), "verified")
+    links = written(both.groupBy("hub", "tile").applyInArrow(lambda t: _stars(t, words, percent), "a bigint, b bigint"), "verified", 5 * files)
     discard(stars)
     return links
 
 
-def _open_links(members: DataFrame, found: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, rows: int, percent: int) -> DataFrame:
+def _open_links(members: DataFrame, found: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, rows: int, percent: int, files: int) -> DataFrame:
     """Verified links, a spanning forest by block, between members of a band that are in different components."""
-    label = written(members.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")), "labels")
+    label = written(members.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")), "labels", 10 * files)
     parts = label.groupBy("band", "component").agg(F.count("*").alias("size"))
     open_bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("h")).where("parts > 1")
     open_bands = open_bands.select("band", F.col("h.component").alias("main"), F.ceil(F.col("h.size") / _CHUNK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("h.size")) / _CHUNK).cast("int").alias("others"))
@@ -305,9 +305,9 @@ def _open_links(members: DataFrame, found: DataFrame, sketches: DataFrame, texts
     dealt = left.withColumn("other", F.explode(F.sequence(F.when(own, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
     dealt = dealt.select("band", F.least("half", "other").cast("int").alias("low"), F.greatest("half", "other").cast("int").alias("high"), "node", "component", "n", "half").hint("merge").join(sketches, "node")
     schema = "band bigint, low int, high int, tile bigint, node bigint, place int, partners binary"
-    marked = written(dealt.groupBy("band", "low", "high").applyInArrow(lambda key, t: _marked(key, t, rows, percent / 100 - 0.14, percent), schema), "marked")
+    marked = written(dealt.groupBy("band", "low", "high").applyInArrow(lambda key, t: _marked(key, t, rows, percent / 100 - 0.14, percent), schema), "marked", 5 * files)
     discard(label)
-    links = written(marked.hint("merge").join(texts, "node").groupBy("band", "low", "high", "tile").applyInArrow(lambda t: _marked_links(t, words, percent), "a bigint, b bigint"), "verified")
+    links = written(marked.hint("merge").join(texts, "node").groupBy("band", "low", "high", "tile").applyInArrow(lambda t: _marked_links(t, words, percent), "a bigint, b bigint"), "verified", 5 * files)
     discard(marked)
     return links
 
@@ -327,23 +327,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                     yield _signed(batch.slice(a, b - a), words, bands, rows)
 
     signed = written(docs.mapInArrow(sign, SIGNED), "signed")
+    files = max(4, signed.count() // 100_000)  # of tables with a few numbers for each document
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")).where("node is not null")
     own = signed.where("n_shingles > 0 and doc_id is not null")
     reps = own.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "c1", "c2"], "left_semi")
     members = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = written(members.join(shared.select("band"), "band").select("band", "node", "n"), "members")
+    members = written(members.join(shared.select("band"), "band").select("band", "node", "n"), "members", 10 * files)
     # the texts that any comparison needs, brought together once; a merge join at every size, as it must be at the largest
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("node"), "text")
     texts = written(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
 
-    first = _hub_links(members, texts, words, percent)
-    found = components(first)
+    first = _hub_links(members, texts, words, percent, files)
+    found = components(first, files)
     sketches = own.select(F.col("doc_id").alias("node"), "sketch").dropDuplicates(["node"])
-    second = _open_links(members, found, sketches, texts, words, rows, percent)
+    second = _open_links(members, found, sketches, texts, words, rows, percent, files)
     discard(members, texts)
     if not second.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), files)
     discard(first, second)
 
     named = classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))

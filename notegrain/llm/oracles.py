@@ -30,16 +30,17 @@ least AS (SELECT doc_id, min(node) component_id FROM reach GROUP BY 1)
 SELECT l.doc_id, coalesce(n, 0) n_shingles, component_id, l.doc_id = component_id kept FROM least l LEFT JOIN n USING (doc_id)
 """
 
-_RULES = " OR ".join(f"coalesce({r.rejects}, false)" for r in quality.RULES).replace("\\\\p", "\\p").replace(", '')", ", '', 'g')").replace("coalesce(text, '', 'g')", "coalesce(text, '')")
+_RULES = " OR ".join(f"({r.rejects})" for r in quality.RULES)
 _BASE = " OR ".join(f"({r.rejects})" for r in quality.RULES if r.name in quality.BASE)
 
-QUALITY = f"""
+QUALITY = rf"""
 WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) ls FROM documents),
 three AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) i FROM w WHERE len(ws) >= 3)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) c FROM three) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + j) n FROM twice, (SELECT unnest([0, 1, 2]) j) GROUP BY 1),
 m AS (SELECT doc_id, text, CAST(len(ws) AS BIGINT) n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) word_chars,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) n_symbols, CAST(len(ls) AS BIGINT) n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines, coalesce(covered.n, 0) n_repeat_words
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) n_symbols, CAST(len(ls) AS BIGINT) n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines, coalesce(covered.n, 0) n_repeat_words,
+  length(regexp_replace(coalesce(text, ''), '\P{{L}}', '', 'g')) n_letters, length(regexp_replace(coalesce(text, ''), '\P{{Lu}}', '', 'g')) n_upper
   FROM w LEFT JOIN covered USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_BASE}) base_failed, NOT ({_RULES}) kept FROM m
 """

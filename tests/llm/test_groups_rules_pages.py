@@ -369,11 +369,11 @@ def test_windows_of_a_long_text_are_told_apart(spark):
     """The hashes of two of its windows agree in their 42 low bits."""
     many = 1_200_000
     docs = spark.createDataFrame([(1, "x212669 y z " + "a " * many + "x2282671 y z")], "doc_id long, text string")
-    assert [(r.n_words, r.n_repeat_words) for r in quality.measured(docs).collect()] == [(many + 6, many)]
+    assert [(r.n_words, r.n_repeat_words) for r in quality.measured(docs, ("n_words", "n_repeat_words")).collect()] == [(many + 6, many)]
 
 
 def test_rule_order_is_rejection_per_cost(spark):
-    rows = spark.range(100).withColumnRenamed("id", "x").cache()
+    rows = spark.range(100).withColumnRenamed("id", "x").withColumn("text", F.lit("a")).cache()
     rules = [quality.Rule("none", "x < 0"), quality.Rule("most", "x < 90"), quality.Rule("few", "x < 2")]
     ordered = quality.order_rules(rows, rules)
     assert ordered[-1][0].name == "none" and {r.name: s for r, s, _ in ordered} == {"none": 0.0, "most": 0.9, "few": 0.02}
@@ -381,6 +381,22 @@ def test_rule_order_is_rejection_per_cost(spark):
     assert got == {"few": 2, "most": 88, None: 10}
 
 
+def test_costs_are_those_of_the_raw_texts_and_rules_cut_short(spark):
+    """A rule that sorts windows costs more than one that counts letters; what a rule rejects, later rules never see."""
+    docs = spark.createDataFrame([(k, f"w{k} " * (1 + k % 2) + " ".join(f"v{j * k % 997}" for j in range(3000))) for k in range(40)], "doc_id long, text string").cache()
+    by = {r.name: (share, cost) for r, share, cost in quality.order_rules(quality.measured(docs, ()), [quality.Rule("letters", "n_letters < 0"), quality.Rule("windows", "n_repeat_words < 0")])}
+    assert by["letters"][0] == by["windows"][0] == 0 and by["windows"][1] > by["letters"][1]
+    trap = quality.Rule("trap", "raise_error(concat('reached ', doc_id)) is not null")
+    first = quality.Rule("first", "n_words > 0")
+    assert quality.measured(docs, ()).select(quality.verdict([first, trap]).alias("v")).distinct().collect()[0].v == "first"
+    with pytest.raises(Exception, match="reached"):
+        quality.measured(docs, ()).select(quality.verdict([trap, first]).alias("v")).collect()
+    bare = quality.quality(docs, measures=())
+    assert bare.columns == ["doc_id", "base_failed", "kept", "rejected_by"]
+    full = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert {r.doc_id: r.kept for r in bare.collect()} == full
+
+
 def test_character_references_equal_the_standard_library():
     for x in ("&eacute;&#233;&#xe9; &copy &notanentity; &lt", "&amp;amp;"):
         assert pages.main_text(f"<p>{x}</p>") == " ".join(html.unescape(x).split())
