@@ -89,7 +89,7 @@ def run_evaluation(reference: tuple, modes: list[str], config: Config, make, gro
     docs, wanted = reference
     out = []
     for mode in modes:
-        c = Config(**{**config.to_dict(), "mode": mode, "profile": "strict", "code_systems": (), "ancestor_depth": 0, "include_ingredients": False})
+        c = Config(**config.to_dict() | {"mode": mode, "profile": "strict", "code_systems": (), "ancestor_depth": 0, "include_ingredients": False})
         found = references.scope(make(c).mentions(docs), groups)
         pairs = evaluate.overlap_pairs(wanted, found)
         for name, counts in (("exact", evaluate.score_exact(wanted, found)), ("overlap", evaluate.score_overlap(wanted, found, pairs)), ("concepts", evaluate.score_concepts(wanted, found))):

@@ -178,10 +178,24 @@ def test_configuration_layers(tmp_path):
     for bad in ({"mode": "x"}, {"profile": "x"}, {"unknown": 1}, {"code_systems": "X"}, {"ancestor_depth": 1}, {"include_text": "maybe"}, {"ancestor_depth": "1.5"}):
         with pytest.raises(ValueError):
             config.load(bad, environ={})
-    with pytest.raises(ValueError, match="change nothing"):
+    with pytest.raises(ValueError, match="none of its presets"):
         config.Config(profile="high_precision")
 
 
+def test_configuration_files_and_errors(tmp_path, monkeypatch):
+    import pickle
+
+    (tmp_path / "notegrain.toml").write_text('[notegrain]\nprofile = "high_precision"\nterminology = "store"\n')
+    monkeypatch.chdir(tmp_path)
+    c = config.load(environ={"NOTEGRAIN_OVERLAPS": "keep"})
+    assert (c.mode, c.overlaps, c.terminology) == ("ensemble:consensus", "keep", str(tmp_path / "store"))
+    assert pickle.loads(pickle.dumps(c)) == c and hash(c) == hash(config.load(environ={"NOTEGRAIN_OVERLAPS": "keep"}))
+    with pytest.raises(ValueError, match="ancestor_depth.*mode.*odd: no such setting"):
+        config.load({"mode": "x", "odd": 1, "ancestor_depth": -1}, environ={})
+    with pytest.raises(AttributeError):
+        c.mode = "x"
+
+
 def test_command_line(spark, tmp_path, capsys):
     lexicon(spark).write.parquet(str(tmp_path / "lex"))
     (tmp_path / "n.txt").write_text("No chest pain.")
