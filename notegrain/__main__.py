@@ -1,4 +1,4 @@
-"""Command line: extract, export, build-terminology, build-omop-vocab, evaluate, gold, inspect-manifest, info."""
+"""Command line: extract, export, summarize, matrix, search, review, agreement, build-terminology, build-omop-vocab, evaluate, gold, inspect-manifest, info."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ import argparse
 import json
 import sys
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import run as runs
+import notegrain
+
+from . import reports, run as runs
 from .config import DEFAULTS, Config, load
 from .extractor import Extractor
-from .operators import evaluate, gold, omop
+from .operators import cohort, evaluate, gold, omop
+from .operators.spans import group_filter
 from .operators.terminology import CODE_SYSTEMS, TerminologyStore, build
 from .sinks import writers
 from .sources import readers, references
@@ -67,6 +71,27 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("path")
     c.add_argument("--notes")
     c.add_argument("--out")
+    for name, what in (("summarize", "each note's concepts"), ("matrix", "a column for each concept"), ("search", "notes by status of target concepts"), ("review", "a blind review of labels")):
+        c = sub.add_parser(name, parents=[shared], help=what)
+        c.add_argument("inputs", nargs="+")
+        c.add_argument("--out", required=True)
+        c.add_argument("--groups")
+        if name == "summarize":
+            c.add_argument("--json", action="store_true")
+        if name == "matrix":
+            c.add_argument("--min-docs", type=int, default=1)
+        if name == "search":
+            c.add_argument("--term", action="append", default=[])
+            c.add_argument("--cui", action="append", default=[])
+        if name == "review":
+            c.add_argument("--modes")
+            c.add_argument("--per-cell", type=int, default=50)
+            c.add_argument("--seed", type=int, default=0)
+    c = sub.add_parser("agreement")
+    c.add_argument("a")
+    c.add_argument("b")
+    c.add_argument("--out", required=True)
+    c.add_argument("--disagreements")
     c = sub.add_parser("inspect-manifest")
     c.add_argument("path")
     sub.add_parser("info", parents=[shared])
@@ -100,6 +125,41 @@ def run_evaluation(reference: tuple, modes: list[str], config: Config, make, gro
     return out
 
 
+def _report(spark: SparkSession, args: argparse.Namespace, config: Config, docs: DataFrame, errors: DataFrame) -> int:
+    groups = [g.strip() for g in args.groups.split(",")] if args.groups else None
+    if args.command == "review":
+        modes = (args.modes or config.mode).split(",")
+        found = [extractor(spark, Config(**config.to_dict() | {"mode": m, "profile": "strict"})).mentions(docs).select("doc_seq", "doc_id", "start", "end", "cui", "semantic_group", "negated", "subject", "history_of", "uncertain", F.lit(m).alias("mode")) for m in modes]
+        labelled = reduce(DataFrame.unionByName, found)
+        sheet, key, totals = reports.blind_review(docs, group_filter(labelled, groups or list(gold.GROUPS)), per_cell=args.per_cell, seed=args.seed)
+        Path(args.out).mkdir(parents=True)
+        writers.write_csv(sheet, f"{args.out}/worksheet.csv", ["item"])
+        writers.write_csv(key, f"{args.out}/key.csv", ["item", "mode"])
+        cells = [r.asDict() for r in totals.orderBy("mode", "attribute", "engine_positive").collect()]
+        writers.write_json({"notes": docs.count(), "per_cell": args.per_cell, "seed": args.seed, "totals": cells}, f"{args.out}/strata.json")
+        return 0
+    mentions = extractor(spark, config).mentions(docs)
+    mentions = group_filter(mentions, groups) if groups else mentions
+    if args.command == "summarize":
+        if args.json:
+            writers.write_one_jsonl(reports.summary_records(docs, mentions), args.out)
+        else:
+            writers.write_lines(reports.summary_lines(docs, mentions), args.out, ["doc_seq", "line_no"])
+    elif args.command == "matrix":
+        writers.write_csv(cohort.matrix(docs, mentions, args.min_docs), args.out, ["row_key"])
+        writers.write_csv(reports.concept_dictionary(mentions, args.min_docs), str(Path(args.out).with_suffix(".concepts.csv")), ["cui"])
+    else:
+        lexicon = spark.read.parquet(config.lexicon)
+        wanted = lexicon.where(F.col("term").isin(*(t.strip().lower() for t in args.term)) | F.col("cui").isin(*(c.strip().upper() for c in args.cui))).select("cui", "preferred_name").distinct()
+        classified = cohort.classify(docs, mentions, wanted, errors.select(F.col("doc_key").alias("doc_id")))
+        counts = {r["status"]: r["documents"] for r in cohort.cohort_counts(classified).collect()}
+        lines = [f"{s}: {counts.get(s, 0)}" for s in ("affirmed", "excluded", "absent", "error")]
+        query = " ".join([*(f"term:{t}" for t in args.term), *(f"cui:{c}" for c in args.cui)])
+        reports.Searches(spark, args.out).save(classified, wanted, query=query, sources=args.inputs, mode=config.mode, console=lines, errors=errors.select(F.col("doc_key").alias("doc_id"), "error_type"))
+        print("\n".join(lines))
+    return int(not errors.isEmpty())
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     try:
@@ -137,6 +197,16 @@ def _run(args: argparse.Namespace) -> int:
         for p in problems:
             print(p.asDict(), file=sys.stderr)
         return int(any(p.asDict().get("severity", "error") == "error" for p in problems))
+    if args.command == "agreement":
+        (docs, a), (_, b) = references.own(spark, args.a), references.own(spark, args.b)
+        by_key = docs.select("doc_id", "doc_seq")  # the second file's documents are the first's, by key
+        b = b.drop("doc_seq").join(by_key, "doc_id")
+        names = (Path(args.a).stem, Path(args.b).stem)
+        with writers.appearing(args.out) as part:
+            part.write_text(reports.agreement_report(docs, a, b, names), encoding="utf-8")
+        if args.disagreements:
+            writers.write_csv(reports.disagreements(docs, a, b, names), args.disagreements, ["doc_id", "start", "end"])
+        return 0
     config = _config(args)
     if args.command == "evaluate":
         rows = run_evaluation(references.load(spark, args.reference, args.format, args.corpus), (args.modes or config.mode).split(","), config, lambda c: extractor(spark, c), list(gold.GROUPS) if args.scope == "clinical" else None)
@@ -147,17 +217,21 @@ def _run(args: argparse.Namespace) -> int:
         print(text)
         return 0
     docs, errors = readers.read_documents(spark, args.inputs)
+    if args.command in ("summarize", "matrix", "search", "review"):
+        return _report(spark, args, config, docs, errors)
     ex = extractor(spark, config)
     if args.command == "extract":
         docs = readers.limited(docs, args.limit) if args.limit else docs
         if args.out_dir:
-            manifest = runs.run(spark, ex, docs, errors, args.out_dir)
+            manifest = runs.run(spark, ex, docs, errors, args.out_dir, inputs=args.inputs)
             print(json.dumps(manifest["sessions"][-1], default=str))
         else:
             writers.write_one_jsonl(ex.results(docs), args.out) if args.out else [print(r["value"]) for r in writers.as_json(ex.results(docs)).toLocalIterator()]
         return int(not errors.isEmpty())
     kind = writers.format_for(args.out)
     mentions = ex.mentions(docs)
+    counted = docs.agg(F.count("*").alias("n")).first()["n"]
+    summary = {"version": notegrain.__version__, "exported_at": runs.now(), "format": kind, "inputs": args.inputs, "output": args.out, "documents": counted}
     if kind == "parquet":
         writers.write_parquet(mentions, args.out)
     elif kind == "sqlite":
@@ -168,7 +242,12 @@ def _run(args: argparse.Namespace) -> int:
         ids = readers.load_note_ids(spark, args.note_ids) if args.note_ids else omop.note_id_from_key(docs)
         rows = omop.note_nlp(mentions, docs, ids, spark.read.parquet(args.omop_vocab), started=datetime.now(UTC), ids=args.id_scheme)
         writers.write_note_nlp(rows, args.out)
-        return int(not omop.missing_note_ids(docs, ids).isEmpty())
+        missing = omop.missing_note_ids(docs, ids).count()
+        done = spark.read.option("header", True).csv(args.out)
+        totals = done.agg(F.count("*").alias("rows"), F.count_if(F.col("note_nlp_concept_id") != "0").alias("with_concept")).first()
+        writers.write_sidecar(args.out, summary | {"rows": totals["rows"], "rows_with_concept_id": totals["with_concept"], "missing_note_id": missing, "note_nlp_id": args.id_scheme})
+        return int(missing > 0)
+    writers.write_sidecar(args.out, summary)
     return 0
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable, Iterator
+from multiprocessing.connection import Connection
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,25 +38,80 @@ def clinical_engine(lexicon: DataFrame) -> Engine:
     return run
 
 
-def python_engine(make: Callable[[], Callable[[str, str], list[dict]]], schema: str) -> Engine:
-    """A third-party matcher, built once in each task; a document that fails becomes a row with ``error_type`` and nothing else.
+class _Matcher:
+    """A third-party matcher in a process of its own, begun anew after a timeout or its death."""
+
+    def __init__(self, make: Callable[[], Callable[[str, str], list[dict]]], timeout: float | None):
+        self.make, self.timeout, self.child, self.pipe = make, timeout, None, None
+
+    def __call__(self, text: str, key: str) -> list[dict]:
+        if self.child is None or not self.child.is_alive():
+            context = multiprocessing.get_context("fork")
+            self.pipe, theirs = context.Pipe()
+            self.child = context.Process(target=_serve, args=(self.make, theirs), daemon=True)
+            self.child.start()
+            theirs.close()
+        try:
+            self.pipe.send((text, key))
+            if not self.pipe.poll(self.timeout):
+                raise TimeoutError
+            found, error = self.pipe.recv()
+        except (TimeoutError, EOFError, OSError) as e:
+            self.close()
+            raise _Failed("Timeout" if isinstance(e, TimeoutError) else "WorkerDied") from None
+        if error is not None:
+            raise _Failed(error)
+        return found
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
+
+
+class _Failed(Exception):
+    """args: the type of what went wrong."""
+
+
+def _serve(make: Callable[[], Callable[[str, str], list[dict]]], pipe: Connection) -> None:
+    engine = make()
+    while True:
+        try:
+            text, key = pipe.recv()
+        except EOFError:
+            return
+        try:
+            answer = engine(text, key), None
+        except Exception as e:
+            answer = None, type(e).__name__
+        pipe.send(answer)
+
+
+def python_engine(make: Callable[[], Callable[[str, str], list[dict]]], schema: str, *, timeout: float | None = None) -> Engine:
+    """A third-party matcher, in a process of its own beside each task; a document that fails becomes a row with ``error_type`` and nothing else.
 
-    The function made takes (text, doc_id) and returns mentions as dicts of the schema's columns.
+    The function made takes (text, doc_id) and returns mentions as dicts of the schema's columns. error_type: the type of the exception, Timeout
+    after so many seconds for one document, or WorkerDied where the matcher took its process down; the documents after it go to a new one.
     """
 
     def run(docs: DataFrame) -> DataFrame:
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            engine, names = make(), [c.strip().split(" ")[0] for c in schema.split(",")]
-            for batch in batches:
-                rows: list[dict] = []
-                for seq, key, text in zip(*(batch[c].to_pylist() for c in ("doc_seq", "doc_id", "text")), strict=True):
-                    try:
-                        found = [{"doc_seq": seq, "doc_id": key, "error_type": None} | m for m in engine(text or "", key)]
-                    except Exception as e:  # data of the run: its type only, never its text
-                        found = [{"doc_seq": seq, "doc_id": key, "error_type": type(e).__name__}]
-                    rows += [{"ord": k} | m for k, m in enumerate(found)]
-                columns = ["doc_seq", "doc_id", "ord", "error_type", *names]
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.field(c).type) for c in columns], columns)
+            engine, names = _Matcher(make, timeout), [c.strip().split(" ")[0] for c in schema.split(",")]
+            try:
+                for batch in batches:
+                    rows: list[dict] = []
+                    for seq, key, text in zip(*(batch[c].to_pylist() for c in ("doc_seq", "doc_id", "text")), strict=True):
+                        try:
+                            found = [{"doc_seq": seq, "doc_id": key, "error_type": None} | m for m in engine(text or "", key)]
+                        except _Failed as e:  # data of the run: its type only, never its text
+                            found = [{"doc_seq": seq, "doc_id": key, "error_type": e.args[0]}]
+                        rows += [{"ord": k} | m for k, m in enumerate(found)]
+                    columns = ["doc_seq", "doc_id", "ord", "error_type", *names]
+                    yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.field(c).type) for c in columns], columns)
+            finally:
+                engine.close()
 
         out = f"doc_seq bigint, doc_id string, ord int, error_type string, {schema}"
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -86,7 +143,7 @@ class Extractor:
             return with_defaults(self.engines[kind](docs))
         if kind == "hybrid":
             concepts = with_defaults(self.engines[ensemble.BROAD](docs))
-            given = assertions.assess(concepts, docs, ("negated", "subject", "history_of", "uncertain"))
+            given = assertions.assess_spans(concepts, docs, ("negated", "subject", "history_of", "uncertain"))
             return ensemble.hybrid(concepts, given)
         both = [with_defaults(self.engines[e](docs)) for e in (ensemble.CLINICAL, ensemble.BROAD)]
         combine = ensemble.union if kind == "union" else ensemble.consensus

@@ -47,6 +47,14 @@ def assess(mentions: DataFrame, docs: DataFrame, attributes: tuple[str, ...] = (
     return out.select(*mentions.drop(*attributes).columns, *(values[a].alias(a) for a in attributes))
 
 
+def assess_spans(mentions: DataFrame, docs: DataFrame, attributes: tuple[str, ...] = ("negated", "uncertain", "history_of", "subject", "temporality")) -> DataFrame:
+    """As assess, for another engine's spans: a span that reaches beyond its sentence, or has no letter or digit, is not assessed (all NULL)."""
+    covered_ = slice_text("note", "start", "end")
+    odd = covered_.rlike(r"[.!?](?=\s+\S)|\n\s*\S") | ~covered_.rlike(r"[\p{L}\p{N}]")
+    out = assess(mentions, docs, attributes).join(docs.select("doc_seq", F.col("text").alias("note")), "doc_seq").withColumn("__odd", odd)
+    return out.select(*(F.when(~F.col("__odd"), F.col(c)).alias(c) if c in attributes else F.col(c) for c in out.columns if c not in ("note", "__odd")))
+
+
 #: Experiencer and temporality labels of ConText output, lower-cased, and what they mean here: fixed values.
 EXPERIENCERS = {"patient": "patient", "other": "other", "family": "family_member", "family_member": "family_member"}
 TEMPORALITIES = {"recent": "recent", "historical": "historical", "hypothetical": "hypothetical"}

@@ -55,8 +55,8 @@ def remaining(docs: DataFrame, finished: DataFrame) -> DataFrame:
     return keyed.join(finished.distinct(), ["doc_id", "content_sha256"], "left_anti").drop("content_sha256")
 
 
-def run(spark: SparkSession, extractor: Extractor, docs: DataFrame, errors: DataFrame, folder: str) -> dict:
-    """Process what remains, append results and errors of this session, and write the manifest."""
+def run(spark: SparkSession, extractor: Extractor, docs: DataFrame, errors: DataFrame, folder: str, inputs: list[str] | None = None) -> dict:
+    """Process what remains, append results and errors of this session, and write the manifest. inputs: what the run was given; a resumed run must name all of them."""
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     manifest_path = out / "run_manifest.json"
@@ -69,6 +69,11 @@ def run(spark: SparkSession, extractor: Extractor, docs: DataFrame, errors: Data
         todo = remaining(docs, done(spark, out))
         # a session's folder appears when its job commits, so a killed session leaves nothing half written
         as_json(extractor.results(todo).drop("doc_seq")).write.mode("error").text(str(out / "results" / f"session={session}"))
+        if inputs is not None:
+            earlier = manifest.get("inputs", [])
+            if lost := missing_inputs(earlier, inputs):
+                raise ValueError(f"earlier inputs that this session doesn't name: {', '.join(lost)}")
+            manifest["inputs"] = list(inputs)
         errors.withColumn("session", F.lit(session)).write.mode("append").json(str(out / "errors"))
         kept = spark.read.schema("doc_id string, mentions array<struct<start:int>>").json(str(out / "results" / f"session={session}"))
         counted = run_counters(docs, kept.select(F.explode("mentions")), errors).first().asDict()
@@ -85,6 +90,25 @@ def outstanding_errors(errors: DataFrame, results: DataFrame) -> DataFrame:
     return errors.join(results.select(F.col("doc_id").alias("doc_key")).distinct(), "doc_key", "left_anti")
 
 
+def recorded_inputs(now: DataFrame, folder: str) -> DataFrame:
+    """(path, length, modificationTime, sha256) of the inputs (path, length, modificationTime), kept with the run.
+
+    Only inputs that are new or changed since an earlier session are read and hashed.
+    """
+    spark, place = now.sparkSession, str(Path(folder) / "inputs")
+    if Path(place).exists():
+        before = spark.read.parquet(place).dropDuplicates(["path", "length", "modificationTime"])
+        fresh = now.join(before, ["path", "length", "modificationTime"], "left_anti")
+    else:
+        fresh = now
+    paths = [r["path"] for r in fresh.select("path").collect()]  # as many as the files of one session
+    if paths:
+        from .sources.readers import input_files
+
+        input_files(spark, paths).write.mode("append").parquet(place)
+    return spark.read.parquet(place).dropDuplicates(["path", "length", "modificationTime"]) if Path(place).exists() else fresh.withColumn("sha256", F.lit(None).cast("string"))
+
+
 def missing_inputs(before: list[str], current: list[str]) -> list[str]:
     """Earlier inputs that a resumed run no longer names."""
     return sorted(set(before) - set(current))
@@ -96,6 +120,24 @@ def resolve(path: str) -> Path:
     return p / "results" if (p / "run_manifest.json").exists() else p
 
 
+def kind_of(spark: SparkSession, path: str) -> str:
+    """What is at a path: a "run" folder, a "results" file of JSON lines (its first record has mentions and a key), or "notes"."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+    if not files.exists(target):
+        raise FileNotFoundError(f"nothing at {path}")
+    if files.getFileStatus(target).isDirectory():
+        return "run" if files.exists(spark._jvm.org.apache.hadoop.fs.Path(target, "run_manifest.json")) else "notes"
+    if not path.lower().endswith((".jsonl", ".jsonl.gz")):
+        return "notes"
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    try:
+        record = json.loads(first["value"]) if first else None
+    except json.JSONDecodeError:
+        return "notes"
+    return "results" if isinstance(record, dict) and {"mentions", "doc_id"} <= record.keys() else "notes"
+
+
 def peak_rss_mb() -> float:
     import resource
 
