@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import text as T
+
 BLOCK_BYTES = 3_000_000
 ASK = "bucket int, block int, trip int, n int, data binary"
 ANSWER = "block int, bucket int, trip int, n int, bits binary"
@@ -68,6 +70,7 @@ def trip(asked: DataFrame, answer: Callable[[list[bytes], np.ndarray], list[np.n
         if width > 1:
             found = [((x[:, None] >> np.arange(width)[::-1]) & 1).astype(np.uint8).ravel() for x in found]
         bits = [np.packbits(x).tobytes() for x in found]
+        T.release()
         return pa.Table.from_arrays([table["block"].combine_chunks(), table["bucket"].combine_chunks(), pa.array([no] * len(n), pa.int32()), pa.array([len(x) // width for x in found], pa.int32()), pa.array(bits, pa.binary())], schema=_ANSWER)
 
     return asked.groupBy("bucket").applyInArrow(bucket, ANSWER)
@@ -79,9 +82,14 @@ def asks(blocks: DataFrame, f: Callable[[int, pa.Table], pa.Table], answers: Dat
 
 
 def _each(blocks: DataFrame, f: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
+    def run(key: tuple, *tables: pa.Table) -> pa.Table:
+        out = f(key[0].as_py(), *tables)
+        T.release()
+        return out
+
     if answers is None:
-        return blocks.groupBy("block").applyInArrow(lambda key, docs: f(key[0].as_py(), docs), schema)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda key, docs, found: f(key[0].as_py(), docs, found), schema)
+        return blocks.groupBy("block").applyInArrow(lambda key, docs: run(key, docs), schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda key, docs, found: run(key, docs, found), schema)
 
 
 def finish(blocks: DataFrame, f: Callable[[int, pa.Table, pa.Table], pa.Table], answers: DataFrame, schema: str) -> DataFrame:

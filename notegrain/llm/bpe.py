@@ -256,29 +256,15 @@ def _chunk_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Batch:
     """The ids of many texts: each distinct chunk is split and each distinct pre-token encoded once."""
 
-    def __init__(self, encoder: Encoder, buf: np.ndarray, offsets: np.ndarray, lay: int = 2_000_000):
-        group = offsets[1:] // lay  # hashes are laid out for so many bytes at once
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-        starts, hashes = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            low, high = int(offsets[a]), int(offsets[b])
-            if low == high:
-                continue
-            part = buf[low:high]
-            at = _chunk_starts(part, offsets[a : b + 1] - low)
-            end = np.append(at[1:], len(part))
-            starts.append(at + low)
-            hashes.append(T.word_codes(part, at, end))
-        start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    def __init__(self, encoder: Encoder, buf: np.ndarray, offsets: np.ndarray):
+        start = _chunk_starts(buf, offsets)
         end = np.append(start[1:], len(buf)) if len(start) else start
-        order, begin = T.groups(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
-        self.chunk = np.empty(len(start), np.int32)  # the number of each chunk
-        self.chunk[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.append(begin, len(order))))
+        number, distinct = T.numbered(buf, start, end)
+        self.chunk = number.astype(np.int32)  # the number of each chunk
         self.cut = np.searchsorted(start, offsets)
-        first = order[begin]
-        raw, index, find = buf.tobytes(), _Index(), encoder.pattern.findall
-        pieces = [find(raw[a:b].decode()) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        del raw
+        index, find = _Index(), encoder.pattern.findall
+        pieces = [find(x.decode()) for x in distinct.to_pylist()]
+        del number, distinct
         piece = np.fromiter(map(index.__getitem__, chain.from_iterable(pieces)), np.int64)
         ids, sizes = encoder.encode_batch([p.encode() for p in index])
         own = np.cumsum(sizes) - sizes
@@ -330,7 +316,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rows)
 
 
-def bpe_encode(docs: DataFrame, path: Callable[[], str], pattern: str, *, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True, batch_bytes: int = 10_000_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: Callable[[], str], pattern: str, *, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True, batch_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids. path() gives the vocabulary's place on any machine."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,10 +329,8 @@ def bpe_encode(docs: DataFrame, path: Callable[[], str], pattern: str, *, doc_id
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 ids, count = batch.ids_of(a, b)
                 back = e.decode(ids)
-                if not np.array_equal(back, buf[offsets[a] : offsets[b]]):  # two chunks with one hash
-                    single = [Batch(e, *T.texts(pa.array([t], pa.binary()))).ids_of(0, 1)[0] for t in (buf[x:y].tobytes() for x, y in zip(offsets[a:b], offsets[a + 1 : b + 1], strict=True))]
-                    ids, count = np.concatenate(single), np.array([len(x) for x in single])
-                    back = e.decode(ids)
+                if not np.array_equal(back, buf[offsets[a] : offsets[b]]):
+                    raise ValueError("the ids of a text decode to another text")
                 yield rows(e, doc_ids.slice(a, b - a), ids, count, back)
 
     def rows(e: Encoder, doc_ids: pa.Array, ids: np.ndarray, count: np.ndarray, back: np.ndarray) -> pa.RecordBatch:
@@ -367,7 +351,7 @@ def bpe_encode(docs: DataFrame, path: Callable[[], str], pattern: str, *, doc_id
         return pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text").mapInArrow(encode, schema)
+    return docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text").mapInArrow(T.released(encode), schema)
 
 
 def bpe_decode(encoded: DataFrame, path: Callable[[], str], pattern: str, *, ids: str = "ids") -> DataFrame:

@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import text as T
+
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes template svg math select".split())
@@ -391,5 +393,5 @@ def extract_text(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...]
 
     source = pages.select(*(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), F.col(html).alias("__html"))
     kinds = dict(source.dtypes)
-    out = source.mapInArrow(extract, ", ".join(f"{k} {kinds[k]}" for k in names) + ", text string, n_chars bigint")
+    out = source.mapInArrow(T.released(extract), ", ".join(f"{k} {kinds[k]}" for k in names) + ", text string, n_chars bigint")
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, names, strict=True)), "text", "n_chars")

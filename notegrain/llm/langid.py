@@ -160,22 +160,21 @@ class Model:
             out[some, l] = -np.bincount(own, total[:, l], len(some)) / np.log(2)
         return out, np.where(n > 0, n + 1, 0)
 
-    def entropy(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy by letter of each document in each language, its letters, and the variance of a single letter's, from the words' sums."""
+    def entropy(self, buf: np.ndarray, offsets: np.ndarray, spread: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy by letter of each document in each language, its letters, and (spread) the variance of a single letter's, from the words' sums."""
         starts, ends, at = T.word_spans(buf, offsets)
-        order, first = T.groups(T.word_codes(buf, starts, ends))
-        word = np.empty(len(order), np.int64)
-        word[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        raw, one = buf.tobytes(), order[first]
-        bits, letters = self.cost([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+        word, distinct = T.numbered(buf, starts, ends)
+        bits, letters = self.cost([x.decode("utf-8", "replace") for x in distinct.to_pylist()])
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
         n = np.bincount(doc, letters[word], len(offsets) - 1)
-        mean, spread = np.zeros((len(n), len(self.languages))), np.zeros((len(n), len(self.languages)))
+        mean = np.zeros((len(n), len(self.languages)))
+        wide = np.zeros((len(n), len(self.languages)))
         for l in range(len(self.languages)):
             own = bits[word, l]
             mean[:, l] = np.bincount(doc, own, len(n)) / np.maximum(1, n)
-            spread[:, l] = np.bincount(doc, (own - mean[doc, l] * letters[word]) ** 2, len(n)) / np.maximum(1, n)
-        return mean, n, spread
+            if spread:
+                wide[:, l] = np.bincount(doc, (own - mean[doc, l] * letters[word]) ** 2, len(n)) / np.maximum(1, n)
+        return mean, n, wide
 
     def accepts(self, entropy: np.ndarray, letters: np.ndarray, language: np.ndarray) -> np.ndarray:
         """Is a document's cross-entropy within what its language's own documents reach?"""
@@ -242,7 +241,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     def share(most: float) -> F.Column:
         return F.create_map(*(F.lit(x) for row in sizes for x in (row["lang"], min(1.0, most / row["count"]))))[F.col("lang")]
 
-    words = able.where(~back & (draw < share(sample))).select("lang", "text").mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = able.where(~back & (draw < share(sample))).select("lang", "text").mapInArrow(T.released(_counted), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     packed = words.select(F.lit(0).alias("all"), "lang", "word", "n").groupBy("all").applyInArrow(lambda t: _fit(t, order), "model binary").collect()
     model = pickle.loads(packed[0]["model"]) if packed else fit({}, order)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
@@ -254,13 +253,13 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             for a, b in _slices(whole["text"], 2_000_000):
                 batch = whole.slice(a, b - a)
                 own = np.array([place[k] for k in batch["lang"].to_pylist()])
-                entropy, n, spread = m.entropy(*T.texts(batch["text"]))
+                entropy, n, spread = m.entropy(*T.texts(batch["text"]), spread=True)
                 row = np.arange(len(n))
                 yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(entropy[row, own]), pa.array(n), pa.array(spread[row, own])], ["lang", "entropy", "letters", "spread"])
 
     if model.languages:
         aside = able.where(back & (draw < share(5 * calibration)) & F.col("lang").isin(model.languages)).select("lang", "text")
-        seen = aside.mapInArrow(reached, "lang string, entropy double, letters double, spread double").where("letters >= 20").toArrow().sort_by("entropy")
+        seen = aside.mapInArrow(T.released(reached), "lang string, entropy double, letters double, spread double").where("letters >= 20").toArrow().sort_by("entropy")
         for k, name in enumerate(model.languages):
             own = seen.filter(pa.compute.equal(seen["lang"], name))
             model.calibrate(k, *(own[c].to_numpy() for c in ("entropy", "letters", "spread")), rate)
@@ -291,5 +290,5 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     source = docs.select(held_out(doc_id).alias("__held"), F.col(text).alias("__text"), *(F.col(c).alias(k) for c, k in zip((doc_id, *keep), kept, strict=True)))
     kinds = dict(source.dtypes)
     schema = "held_out boolean, " + ", ".join(f"{k} {kinds[k]}" for k in kept) + ", lang_pred string, score double, entropy double, accepted boolean"
-    out = source.mapInArrow(predict, schema)
+    out = source.mapInArrow(T.released(predict), schema)
     return out.select(F.col("k0").alias("doc_id"), "held_out", "lang_pred", "score", "entropy", "accepted", *(F.col(k).alias(c) for c, k in zip(keep, kept[1:], strict=True)))

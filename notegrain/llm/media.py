@@ -350,7 +350,7 @@ def media_columns(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text").mapInArrow(store, schema + ", media binary" * keep_media)
+    return docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text").mapInArrow(T.released(store), schema + ", media binary" * keep_media)
 
 
 def read_media(media: DataFrame, *, key: str = "doc_id", column: str = "media", batch_bytes: int = 3_000_000) -> DataFrame:
@@ -369,4 +369,4 @@ def read_media(media: DataFrame, *, key: str = "doc_id", column: str = "media",
             yield pa.RecordBatch.from_arrays(columns, [key, "width", "height", "thumbnail", "thumbnail_hash"])
 
     kind = dict(media.dtypes)[key]
-    return media.selectExpr(f"`{key}`", f"`{column}` media").mapInArrow(read, f"`{key}` {kind}, width int, height int, thumbnail binary, thumbnail_hash string")
+    return media.selectExpr(f"`{key}`", f"`{column}` media").mapInArrow(T.released(read), f"`{key}` {kind}, width int, height int, thumbnail binary, thumbnail_hash string")

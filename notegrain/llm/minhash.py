@@ -72,9 +72,8 @@ def exact_shingles(column: pa.Array | pa.ChunkedArray, words: int) -> tuple[np.n
     buf, offsets = T.texts(column)
     buf = T.lower_ascii(buf)
     starts, ends, at = T.word_spans(buf, offsets)
-    n, size = np.diff(at), ends - starts
-    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(buf[T.ragged(starts, size)])])
-    h, have = flat.dictionary_encode().indices.to_numpy().astype(np.uint64), 1
+    n = np.diff(at)
+    h, have = T.numbered(buf, starts, ends)[0].astype(np.uint64), 1
 
     def pairs(step: int) -> np.ndarray:
         return np.unique(h[: len(h) - step] << np.uint64(32) | h[step:], return_inverse=True)[1].astype(np.uint64)
@@ -326,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 if b > a:
                     yield _signed(batch.slice(a, b - a), words, bands, rows)
 
-    signed = written(docs.mapInArrow(sign, SIGNED), "signed")
+    signed = written(docs.mapInArrow(T.released(sign), SIGNED), "signed")
     files = max(4, signed.count() // 100_000)  # of tables with a few numbers for each document
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")).where("node is not null")
     own = signed.where("n_shingles > 0 and doc_id is not null")

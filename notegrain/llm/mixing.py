@@ -42,7 +42,7 @@ def sized(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], batch["source"], pa.array(np.diff(at), pa.int64())], ["doc_id", "mark", "source", "size"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(source).alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, "doc_id bigint, mark bigint, source string, size bigint")
+    return rows.mapInArrow(T.released(count), "doc_id bigint, mark bigint, source string, size bigint")
 
 
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3) -> DataFrame:

@@ -8,6 +8,10 @@ steps that are bijective in either half and linear in neither.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -150,6 +154,38 @@ def word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int
     return mix(np.add.reduceat(code, begin), salt)
 
 
+def slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The slices as an Arrow array."""
+    n = ends - starts
+    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(buf[ragged(starts, n)])])
+
+
+def numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """A number for each slice, equal where the bytes are, and the distinct slices by number. No hash decides."""
+    found = slices(buf, starts, ends).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+
+def release() -> None:
+    """Give memory that is free back to the machine: a worker that waits shouldn't hold what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function that gives memory back at its task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, documents: int) -> list[bytes]:
     """The given words of each document, joined by one space."""
     final = np.ones(len(doc), bool)
