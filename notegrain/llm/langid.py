@@ -10,7 +10,7 @@ cross-entropy by letter wins.
 *Rejection* is calibrated on at most about ``calibration`` training documents of each language that the models don't see (a fifth is
 set aside): their cross-entropies have a mean, a variance between documents, and one within them that falls with the letters of a document.
 Standardised by these, they have a 95th percentile and a mean excess beyond it; a document is rejected beyond the
-point that a share ``rate`` of its language's documents exceeds if the excess is exponential.  (A normal law is too narrow: texts with many
+point that a share ``rate`` of its language's documents exceeds if the excess is exponential with this mean, or 1 if that is more; with under 20 documents nothing is rejected.  (A normal law is too narrow: texts with many
 capitals, repeats or quotations lie far out.)  ``lang_pred`` names the best language all the same.
 
 The models are fitted on at most about ``sample`` documents of each language, chosen by a hash of the id.  Executors count
@@ -180,17 +180,19 @@ class Model:
         """Is a document's cross-entropy within what its language's own documents reach?"""
         if not self.languages:
             return np.zeros(len(entropy), bool)
-        return entropy <= self.mean[language] + self.z[language] * np.sqrt(self.between[language] + self.within[language] / np.maximum(1, letters))
+        width = np.sqrt(self.between[language] + self.within[language] / np.maximum(1, letters))
+        return (entropy - self.mean[language] <= np.where(np.isinf(self.z[language]), 0, self.z[language]) * width) | np.isinf(self.z[language])
 
     def calibrate(self, language: int, entropy: np.ndarray, letters: np.ndarray, spread: np.ndarray, rate: float) -> None:
         """Set what a language accepts from documents of its own."""
-        if len(entropy) < 5:
+        if len(entropy) < 20:  # too few to tell: nothing is rejected
             return
         self.mean[language], self.within[language] = entropy.mean(), spread.mean()
-        self.between[language] = max(entropy.var() - (spread / letters).mean(), 0.1 * entropy.var())
+        self.between[language] = max(entropy.var() - (spread / letters).mean(), 0.1 * entropy.var(), 1e-4)
         z = (entropy - self.mean[language]) / np.sqrt(self.between[language] + self.within[language] / letters)
         most = np.quantile(z, 0.95)
-        self.z[language] = most + (z[z > most] - most).mean() * np.log(max(1.0, 0.05 / rate)) if (z > most).any() else np.inf
+        excess = max(1.0, (z[z > most] - most).mean()) if (z > most).any() else 1.0  # a few documents may miss a long tail
+        self.z[language] = most + excess * np.log(max(1.0, 0.05 / rate))
 
 
 def _slices(column: pa.Array, size: int) -> list[tuple[int, int]]:

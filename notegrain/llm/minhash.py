@@ -36,12 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import text as T
 from .storage import discard, written
 
-SIGNED = "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>, sketch binary"
+SIGNED = "doc_id bigint, n_shingles bigint, content binary, bands array<bigint>, sketch binary"
 _EMPTY = np.uint64(2**64 - 1)
 #: Members of one half of a block of a band's comparison.
 _CHUNK = 1000
@@ -127,13 +127,12 @@ def _signed(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.Reco
         key = key << 8 | s[:, r::rows]
     some = np.flatnonzero(n > 0)
     ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
-    c = np.frombuffer(b"".join(x[:16] for x in digests), np.int64).reshape(-1, 2)
     columns = [
-        batch["doc_id"], pa.array(n, pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]),
+        batch["doc_id"], pa.array(n, pa.int64()), pa.array([x[:16] for x in digests], pa.binary()),
         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[some].ravel())),
         pa.array([x.tobytes() for x in s], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"])
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "content", "bands", "sketch"])
 
 
 def components(links: DataFrame, files: int | None = None) -> DataFrame:
@@ -311,8 +310,34 @@ def _open_links(members: DataFrame, found: DataFrame, sketches: DataFrame, texts
     return links
 
 
+def content(text: str = "text") -> Column:
+    """The ``content`` of a text as an expression: its words, A-Z lower-cased, joined by one space."""
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.unhex(F.substring(F.sha2(F.array_join(F.regexp_extract_all(low, F.lit(T.WORD_PATTERN), F.lit(0)), " "), 256), 1, 32))
+
+
+def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """One document of each group, with all its columns: the one with the smallest id.
+
+    Of rows that repeat an id and its text one stays, the first by the other columns. Rows without an id go if a document with an id has their words; of
+    those that are left, one of each sequence of words stays, and all without words do.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    named = docs.where(F.col(doc_id).isNotNull())
+    named = named.join(gone, named[doc_id].cast("long") == gone["__gone"], "left_anti")
+    named = named.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id, text).orderBy(*others, F.lit(1)))).where("__n = 1").drop("__n")
+    nameless = docs.where(F.col(doc_id).isNull()).withColumn("__content", content(text))
+    taken = found.where("doc_id is not null and n_shingles > 0").select(F.col("content").alias("__taken")).distinct()
+    nameless = nameless.join(taken, nameless["__content"] == taken["__taken"], "left_anti")
+    words = F.col("__content") != F.unhex(F.sha2(F.lit(""), 256).substr(1, 32))
+    first = nameless.where(words).withColumn("__n", F.row_number().over(Window.partitionBy("__content").orderBy(F.col(text), *others))).where("__n = 1").drop("__n")
+    return named.unionByName(first.unionByName(nameless.where(~words)).drop("__content"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, bands: int = 48, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (it is the document's own)."""
+    """doc_id, n_shingles, content (16 bytes of the SHA-256 of its words), component_id (smallest doc_id reachable by links) and kept (it is the document's own)."""
     if rows > 6 or bands > 127:
         raise ValueError("a band's number and its rows of 8 bits must fit in 63 bits")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -327,9 +352,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     signed = written(docs.mapInArrow(T.released(sign), SIGNED), "signed")
     files = max(4, signed.count() // 100_000)  # of tables with a few numbers for each document
-    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")).where("node is not null")
+    classes = signed.where("n_shingles > 0").groupBy("content").agg(F.min("doc_id").alias("node")).where("node is not null")
     own = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = own.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "c1", "c2"], "left_semi")
+    reps = own.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "content"], "left_semi")
     members = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     members = written(members.join(shared.select("band"), "band").select("band", "node", "n"), "members", 10 * files)
@@ -346,7 +371,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), files)
     discard(first, second)
 
-    named = classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component_id"))
-    linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = classes.join(found, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
+    linked = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "content").join(named, "content", "left").select("doc_id", "n_shingles", "content", "component_id")
+    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", "content", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -57,7 +57,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("content")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
