@@ -5,8 +5,11 @@ its composite density: characters per tag, times a logarithm that falls as chara
 belong to links, to a base that grows with the page's own share of links.  The node with the largest sum of its
 children's densities holds the article; the least density on the path from the body to it is the
 threshold above which other nodes count too.  The text is that of the smallest subtree that holds all
-of these (widened to the enclosing ``article`` or ``main`` if there is one, and to articles beside it), without what isn't reading matter by its tag, role or
-class: menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles.
+of these.  That is so on every page; ``article`` and ``main`` only widen the subtree, to headings and short passages beside the dense ones, and within it
+containers whose density is below the threshold and whose text is mostly links go.
+
+Before that, what the page itself declares to be no reading matter goes: by element and role, as HTML defines them, and, as
+a minor filter, by a few names of parts that density can't tell from an article since they are prose too: reader comments, adverts, notices, sidebars, headers, footers.
 
 Defined results: null or empty html, and pages without text, give the empty string; html cut off in
 a tag loses that tag; other columns are ignored, whatever their names; an empty table gives no rows.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +30,8 @@ from . import text as T
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe xmp noembed noframes template svg math select".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr acronym".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr acronym math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover semantics".split())
 #: Blocks that hold reading matter wherever they stand.
 READING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: Start tags that end an open element of the second group, if no element of the third lies between.
@@ -43,16 +47,16 @@ ENDS = {
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 
 # What isn't reading matter.
-NOISE_TAGS = frozenset("nav footer aside form button input label legend menu dialog noscript object embed canvas audio video map head fieldset".split()) | RAW
+NOISE_TAGS = frozenset("nav footer aside form button input label legend menu dialog noscript object embed canvas audio video map head fieldset template svg select annotation annotation-xml".split()) | RAW
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar status".split())
+#: Names of page parts that are prose: no density tells them from an article.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup "
-    "sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar comment comments commentlist disqus respond replies related recommended "
-    "recommendations share sharing social widget widgets login search pagination pager toolbar skip toc".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup "
+    "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar comment comments commentlist disqus respond replies related recommended recommendations share sharing social search login pagination pager toolbar skip toc".split()
 )
-#: Of these, names of headers, and words that headings have too.
+#: Of these, names of headers, and words that passages have too.
 HEADER_WORDS = frozenset("header masthead banner topbar".split())
-COMMON_WORDS = HEADER_WORDS | frozenset("related recommended recommendations search social notice notices promo promotion navigation rail share sharing skip menu menus login consent overlay subscription widget toc".split())
+COMMON_WORDS = HEADER_WORDS | frozenset("related recommended recommendations notice notices promo promotion navigation menu menus consent subscription ad ads sponsored respond share sharing social search login pagination pager toolbar skip toc".split())
 #: Words that names of page parts add to these; a name with any other word may be that of a passage.
 PART_WORDS = frozenset(
     "list lists box block area section wrapper wrap container inner outer bar main site page post posts article articles entry content link links button buttons btn icon icons top bottom left right primary secondary "
@@ -67,18 +71,27 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attributes", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "article", "main")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list = []  # nodes and strings
         self.noise = False
+        # the nearest article and main, itself included: looked up often, and pages nest without bound
+        self.article = self if tag == "article" else parent.article if parent else None
+        self.main = self if tag == "main" else parent.main if parent else None
 
 
 def tree(page: str) -> Node:
     """The element tree; text stays undecoded in it."""
     root = node = Node("#root", "", None)
-    at, raw_end = 0, len(page)
+    at, raw_end, open_ = 0, len(page), Counter()  # open elements by tag: nothing is looked for that isn't open
+
+    def leave(from_: Node, to: Node) -> None:
+        while from_ is not to:
+            open_[from_.tag] -= 1
+            from_ = from_.parent
+
     token = _TOKEN.search(page)
     while token:
         begin, end = token.span()
@@ -89,31 +102,32 @@ def tree(page: str) -> Node:
         if tag and page[end - 1] == ">":
             tag = tag.lower()
             if close:
-                up = node
-                while up is not root and up.tag != tag:
-                    up = up.parent
-                if up is not root:
+                if open_[tag] > 0:
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
+                    leave(node, up.parent)
                     node = up.parent
             else:
                 if tag in ENDS_P or tag in ENDS:
                     stop, bar = ENDS.get(tag, ({"p"}, frozenset()))
                     stop = stop | {"p"} if tag in ENDS_P else stop
                     up, last = node, None
-                    while up is not root and up.tag not in bar and not (tag not in ENDS and up.tag not in INLINE and up.tag not in stop):
+                    while any(open_[x] > 0 for x in stop) and up is not root and up.tag not in bar and not (tag not in ENDS and up.tag not in INLINE and up.tag not in stop):
                         if up.tag in stop:
                             last = up
                         up = up.parent
                     if last is not None:
+                        leave(node, last.parent)
                         node = last.parent
                 new = Node(tag, attributes, node)
                 node.children.append(new)
                 if tag in RAW:  # its content is not markup
                     gone = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|</{re.escape(tag)}\Z", re.I).search(page, end)
                     at = gone.end() if gone else raw_end
-                elif tag not in VOID and not attributes.endswith("/"):
-                    node = new
-                elif tag not in VOID and attributes.endswith("/") and tag not in INLINE:
-                    node = new  # a slash doesn't close an HTML element
+                elif tag not in VOID and not (attributes.endswith("/") and (tag in INLINE or tag == "svg")):
+                    node = new  # a slash doesn't close an HTML block
+                    open_[tag] += 1
         token = _TOKEN.search(page, at)
     if at < len(page):
         node.children.append(page[at:])
@@ -174,7 +188,7 @@ def _mark_noise(root: Node) -> None:
         names, role, unseen = _facts(n.attributes) if n.attributes else ([], "", False)
         if unseen:
             n.noise = True
-        elif n.tag == "header" or role in NOISE_ROLES or any(words & NOISE_WORDS and _says_noise(n, kind, words) for kind, words in names):
+        elif n.tag == "header" and n.article is None or role in NOISE_ROLES or any(words & NOISE_WORDS and _says_noise(n, kind, words) for kind, words in names):
             named[id(n)] = n.tag == "header" or role == "banner" or any(words & HEADER_WORDS for _, words in names)
         elif n.tag in ("ul", "ol", "div", "section", "table") and n.link_tags >= 3 and n.link_chars >= 0.8 * max(1, n.chars):
             n.noise = True  # a menu under another name
@@ -187,16 +201,15 @@ def _mark_noise(root: Node) -> None:
     for n in order:
         if id(n) in named and id(n) not in wraps:
             n.noise = True
-            if n.tag == "header" and _inside(n, ("article", "main")):  # an article's own header keeps its heading
+            if n.tag == "header" and n.main is not None and _titled(n):  # the header of what the page is about
                 n.noise = False
-                n.children = [c for c in n.children if isinstance(c, Node) and c.tag in ("h1", "h2", "hgroup")]
 
 
 def _says_noise(n: Node, kind: str, words: set[str]) -> bool:
     """Is a block with this class or id no reading matter? A heading always is; in an article, so are paragraphs and passages that aren't mostly links."""
     if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"):
         return False
-    home = _inside(n, ("article", "main"))
+    home = n.article or n.main
     if home is not None and n.tag not in CONTAINERS:
         return False
     found = words & NOISE_WORDS
@@ -206,7 +219,7 @@ def _says_noise(n: Node, kind: str, words: set[str]) -> bool:
     if home is not None:
         passage = passage or kind == "id" and found <= COMMON_WORDS and words == found
     else:
-        passage = passage and kind == "id" and found <= COMMON_WORDS
+        passage = passage and found <= COMMON_WORDS
     return not passage or 3 * n.link_chars >= max(1, n.chars)
 
 
@@ -222,16 +235,31 @@ def _titled(node: Node) -> bool:
 
 def _wrappers(order: list[Node], named: dict[int, bool]) -> set[int]:
     """Named blocks that hold the article itself, by structure alone: its element, or its heading with reading blocks, is in no unnamed place."""
+    near: dict[int, int | None] = {}  # the nearest named block about a node, or -1 in noise
+    outer: dict[int, int | None] = {}  # and that about a named block
+    for n in reversed(order):  # parents first
+        above = near[id(n.parent)] if n.parent is not None and id(n.parent) in near else None
+        if id(n) in named:
+            outer[id(n)] = above
+        near[id(n)] = -1 if n.noise or above == -1 else id(n) if id(n) in named else above
+
+    def chain(n: Node) -> list[int] | None:
+        found, up = [], near[id(n)]
+        while up is not None and up != -1:
+            found.append(up)
+            up = outer[up]
+        return None if up == -1 else found
+
     around: dict[int, list[int]] = {}
     for n in order:
-        if n.chars > 2 * n.link_chars and n.tag in ("article", "main", "p", "blockquote", "pre", "h1", "h2", "h3") and (up := _named_around(n, named)) is not None:
+        if n.tag in ("article", "main", "p", "blockquote", "pre", "h1", "h2", "h3") and n.chars > 2 * n.link_chars and (up := chain(n)) is not None:
             around[id(n)] = up
     kept = [n for n in order if id(n) in around]
     homes, reads, h1 = ([n for n in kept if n.tag in tags] for tags in (("article", "main"), ("p", "blockquote", "pre"), ("h1",)))
     clean = [n for n in homes if not around[id(n)]]
     if any(n.tag == "article" for n in clean):
         return set()
-    titled = {id(home) for n in h1 if (home := _inside(n, ("article",)) or _inside(n, ("main",)))}
+    titled = {id(home) for n in h1 if (home := n.article or n.main)}
     bare = _bare(order[-1], named)
     if homes:
         lost = [n for n in homes if around[id(n)] and (id(n) in titled or not clean or not any(_bare(m, named) for m in clean))]
@@ -260,27 +288,6 @@ def _bare(top: Node, named: dict[int, bool]) -> bool:
     return False
 
 
-def _named_around(node: Node, named: dict[int, bool]) -> list[int] | None:
-    """The named blocks about a node; None in noise."""
-    found, up = [], node
-    while up is not None:
-        if up.noise:
-            return None
-        if id(up) in named:
-            found.append(id(up))
-        up = up.parent
-    return found
-
-
-def _inside(node: Node, tags: tuple[str, ...]) -> Node | None:
-    up = node
-    while up is not None:
-        if up.tag in tags:
-            return up
-        up = up.parent
-    return None
-
-
 def _densities(order: list[Node], body: Node) -> None:
     share = body.link_chars / max(1, body.chars)
     for n in order:
@@ -303,7 +310,7 @@ def _content(root: Node) -> Node:
     order = []
     _measure(body, False, order)
     _densities(order, body)
-    alive = [n for n in order if n.chars and not _noisy(n, body)]
+    alive = _alive(body)
     if not alive:
         return body
     best = max(alive, key=lambda n: (n.total, n.density))
@@ -323,18 +330,32 @@ def _content(root: Node) -> Node:
         while id(up) not in place:
             up = up.parent
         deepest = max(deepest, place[id(up)])
-    if (home := _inside(path[deepest], ("article",)) or _inside(path[deepest], ("main",))) is not None:
+    if (home := path[deepest].article or path[deepest].main) is not None:
         deepest = max(deepest, place.get(id(home), deepest))
         # articles beside an article belong to the same text
         while path[deepest].tag == "article" and deepest + 1 < len(path) and any(_article(c) for c in path[deepest + 1].children if c is not path[deepest]):
             deepest += 1
-        return path[deepest]
-    # text and reading blocks beside the subtree belong to it
-    while deepest + 1 < len(path) and any(_reads(c) for c in path[deepest + 1].children if c is not path[deepest]):
-        deepest += 1
+    else:
+        # text and reading blocks beside the subtree belong to it
+        while deepest + 1 < len(path) and any(_reads(c) for c in path[deepest + 1].children if c is not path[deepest]):
+            deepest += 1
+    for n in _alive(path[deepest]):  # what is thinner than anything on the way to the article, and mostly links
+        if n.tag in CONTAINERS and id(n) not in place and n.density < threshold and 2 * n.link_chars > n.chars:
+            n.noise = True
     return path[deepest]
 
 
+def _alive(top: Node) -> list[Node]:
+    """The nodes with text that aren't in noise, in page order."""
+    found, stack = [], [top]
+    while stack:
+        n = stack.pop()
+        if n.chars and (not n.noise or n is top):
+            found.append(n)
+            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
+    return found
+
+
 def _reads(child: Node | str) -> bool:
     if isinstance(child, str):
         return bool(child.strip())
@@ -345,15 +366,6 @@ def _article(child: Node | str) -> bool:
     return isinstance(child, Node) and child.tag == "article" and not child.noise and child.chars > 2 * child.link_chars
 
 
-def _noisy(node: Node, body: Node) -> bool:
-    up = node
-    while up is not None and up is not body:
-        if up.noise:
-            return True
-        up = up.parent
-    return False
-
-
 def _text(node: Node) -> str:
     parts: list[str] = []
     stack: list = [node]

@@ -333,6 +333,78 @@ def test_sibling_articles_are_one_text(page, want):
     assert pages.main_text(f"<html><body>{page}</body></html>") == want.strip()
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>x</p><svg><svg></svg>LEAK</svg></article>", "x"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be 1</p></article>", "Let x=1 be 1"),
+        ("<article><p>x</p><template><template></template>LEAK</template><select><option>A<option>B</select></article>", "x"),
+        ("<div class=post><h1>T</h1><p>One two three four five.</p><div class='social-history'><p>Six seven.</p></div></div>", "T One two three four five. Six seven."),
+        ("<article><header><h1>T</h1><p>Lead.</p><nav><a href=/>n</a></nav></header><p>One two three.</p></article>", "T Lead. One two three."),
+        ("<article><h1>T</h1><p>" + "One two three. " * 20 + "</p><div><a href=/1>more of this</a> <a href=/2>and that</a></div></article>", "T " + "One two three. " * 19 + "One two three."),
+        ("<header class=top><h1>Site</h1></header><main><header><h1>T</h1></header><p>One two three.</p></main>", "T One two three."),
+    ],
+)
+def test_nested_raw_elements_headers_and_link_boxes(page, want):
+    assert pages.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_density_decides_without_any_element_or_name():
+    """Only div and a: the dense part is the text, whatever it is called."""
+    menu = "".join(f"<div><a href=/{k}>Item {k}</a></div>" for k in range(30))
+    text = "".join(f"<div>Sentence {k} of the text that somebody wrote and others read.</div>" for k in range(12))
+    got = pages.main_text(f"<body><div class=x>{menu}</div><div class=y>{text}</div><div class=z>{menu}</div></body>")
+    assert got == " ".join(f"Sentence {k} of the text that somebody wrote and others read." for k in range(12))
+
+
+def test_densities_equal_their_definition():
+    """Of random trees, by recursion over the elements."""
+    rng = random.Random(9)
+
+    def build(depth):
+        return "".join(rng.choice([lambda: "some text here " * rng.randrange(1, 4), lambda: f"<a href=/>{'link ' * rng.randrange(1, 3)}</a>", lambda: f"<div>{build(depth - 1)}</div>" if depth else "x "])() for _ in range(rng.randrange(1, 5)))
+
+    def count(n):
+        c = t = lc = lt = 0
+        for x in n.children:
+            if isinstance(x, str):
+                k = len(" ".join(x.split()))
+                c, lc = c + k, lc + (k if n.tag == "a" else 0)
+            else:
+                a, b, d, e = count(x)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (x.tag == "a")
+        return c, t, lc, lt
+
+    for _ in range(40):
+        body = pages.tree(f"<body>{build(4)}</body>").children[0]
+        order = []
+        pages._measure(body, False, order)
+        pages._densities(order, body)
+        whole = count(body)
+        for n in order:
+            c, t, lc, lt = count(n)
+            if not c:
+                assert n.density == 0
+                continue
+            base = np.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + np.e)
+            want = c / max(1, t) * np.log(max(1 + 1e-9, c / max(1, lc) * max(1, t) / max(1, lt))) / np.log(base) if base > 1 else c / max(1, t) * np.log(max(1 + 1e-9, c / max(1, lc) * max(1, t) / max(1, lt)))
+            assert n.density == pytest.approx(want)
+            assert n.total == pytest.approx(sum(x.density for x in n.children if not isinstance(x, str)))
+
+
+def test_deep_pages_take_time_in_proportion():
+    def took(n):
+        import time
+
+        page = "<body>" + "<div>" * n + "<p>One two three.</p></b></i>" * 50 + "</div>" * n + "</body>"
+        began = time.perf_counter()
+        assert pages.main_text(page).startswith("One two three.")
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 12 * took(4_000)
+
+
 def test_pages_in_spark(spark):
     df = spark.createDataFrame([(1, "u", "<p>é𝄞</p>", "clash"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted(tuple(r) for r in pages.extract_text(df).collect()) == [(1, "u", "é𝄞", 2), (2, None, "", 0)]
