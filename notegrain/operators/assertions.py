@@ -74,8 +74,8 @@ def checked_subject(subject: Column) -> Column:
 
 def simple_negation(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """``negated``: "no " stands between the last full stop and the mention."""
-    note = docs.select("doc_seq", F.lower("text").alias("note"))
-    before = F.expr("substring_index(substring(note, 1, start), '.', -1)")
+    note = docs.select("doc_seq", F.col("text").alias("note"))  # as all joins to the text have it, so that one exchange serves them
+    before = F.expr("substring_index(substring(lower(note), 1, start), '.', -1)")
     return mentions.join(note, "doc_seq").withColumn("negated", before.contains("no ")).drop("note")
 
 

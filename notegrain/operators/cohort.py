@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import mention_status
+from ..scratch import written
+from .omop import sequential_ids
 from .terminology import SUMMARY_ORDER
 
 STATUSES = ("affirmed", "negated", "other_subject", "hedged")
@@ -50,10 +52,10 @@ def cohort_counts(classified: DataFrame) -> DataFrame:
 def unique_keys(docs: DataFrame) -> DataFrame:
     """``row_key``: a repeated doc_id gets #N, where N counts all repeats in document order.
 
-    Only repeats are numbered together, in one window over them.
+    Only repeats are numbered together: sorted by range, and numbered from the counts of the ranges.
     """
     nth = docs.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_seq")))
-    again = nth.where("nth > 1").select("doc_seq", F.row_number().over(Window.orderBy("doc_seq")).alias("n"))
+    again = sequential_ids(nth.where("nth > 1").select("doc_seq"), ["doc_seq"]).withColumnRenamed("note_nlp_id", "n")
     return nth.drop("nth").join(again, "doc_seq", "left").withColumn("row_key", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.concat("doc_id", F.lit("#"), "n"))).drop("n")
 
 
@@ -71,13 +73,15 @@ def concept_stats(mentions: DataFrame, min_docs: int = 1, groups: list[str] | No
 
 def matrix(docs: DataFrame, mentions: DataFrame, min_docs: int = 1, groups: list[str] | None = None, most: int = 2000) -> DataFrame:
     """row_key and a column for each concept: 1, -1 or 0. Columns are an answer's shape, so there may be ``most`` at most (an error otherwise)."""
-    columns = [r["cui"] for r in concept_stats(mentions, min_docs, groups).orderBy(F.col("n_affirmed").desc(), "cui").limit(most + 1).collect()]
+    marked = written(cells(mentions, groups), "cells")  # read for the columns, and again for the rows
+    affirmed = marked.groupBy("cui").agg(F.count_if(F.col("cell") == 1).alias("n_affirmed")).where(F.col("n_affirmed") >= min_docs)
+    columns = [r["cui"] for r in affirmed.orderBy(F.col("n_affirmed").desc(), "cui").limit(most + 1).collect()]
     if len(columns) > most:
         raise ValueError(f"more than {most} concepts: raise min_docs or most")
     keys = unique_keys(docs).select("doc_seq", "row_key")
     if not columns:
         return keys.select("row_key")
-    wide = cells(mentions, groups).groupBy("doc_seq").pivot("cui", columns).agg(F.max("cell"))
+    wide = marked.groupBy("doc_seq").pivot("cui", columns).agg(F.max("cell"))
     return keys.join(wide, "doc_seq", "left").fillna(0, columns).select("row_key", *columns)
 
 

@@ -105,12 +105,14 @@ def outermost(mentions: DataFrame) -> DataFrame:
 def longest_spans(mentions: DataFrame) -> DataFrame:
     """Of overlapping spans the longest, then the first; equal spans are all kept.
 
-    Greedy, so an overlap with a span that was itself dropped doesn't count: a fold over the document's distinct spans.
+    Greedy, so an overlap with a span that was itself dropped doesn't count: a fold over the document's distinct spans. A document's mentions come
+    together once, and those on kept spans leave as they came.
     """
-    spans = mentions.groupBy("doc_seq").agg(F.array_sort(F.collect_set(F.struct((F.col("start") - F.col("end")).alias("size"), "start", "end"))).alias("s"))
+    rows = mentions.groupBy("doc_seq").agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in mentions.columns))).alias("rows"))
+    spans = rows.withColumn("s", F.expr("array_sort(array_distinct(transform(rows, x -> named_struct('size', x.start - x.end, 'start', x.start, 'end', x.end))))"))
     fold = "aggregate(s, cast(array() as array<struct<start:int,end:int>>), (a, x) -> if(exists(a, k -> x.start < k.end and k.start < x.end), a, array_append(a, named_struct('start', int(x.start), 'end', int(x.end)))))"
-    kept = spans.select("doc_seq", F.expr(f"inline({fold})"))
-    return mentions.join(kept, ["doc_seq", "start", "end"], "left_semi")
+    kept = spans.withColumn("k", F.expr(f"map_from_entries(transform({fold}, x -> struct(concat(x.start, ':', x.end), true)))"))
+    return kept.select(F.expr("inline(filter(rows, x -> map_contains_key(k, concat(x.start, ':', x.end))))"))
 
 
 def guideline_filter(mentions: DataFrame, docs: DataFrame, standard: str | None = None) -> DataFrame:

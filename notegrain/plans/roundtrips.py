@@ -162,11 +162,11 @@ def notes_without_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omop.missing_note_ids(orders, orders.where(mod("doc_seq", 4) != 0).select("doc_id", F.col("doc_seq").alias("note_id"))).select("doc_id")
 
 
-@_query("SELECT DISTINCT CAST(user_id AS VARCHAR) doc_key, 'Timeout' error_type FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'click')")
+@_query("SELECT DISTINCT CAST(user_id AS VARCHAR) doc_key, 'Timeout' error_type FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'click' AND x.user_id % 2 = 0)")
 def outstanding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = N.read(spark, sf_dir, "events").withColumn("key", F.col("user_id").cast("string"))
     errors = events.where("event_type = 'error'").select(F.col("key").alias("doc_key"), F.lit("Timeout").alias("error_type")).distinct()
-    return runs.outstanding_errors(errors, events.where("event_type = 'click'").select(F.col("key").alias("doc_id")))
+    return runs.outstanding_errors(errors, events.where("event_type = 'click' and user_id % 2 = 0").select(F.col("key").alias("doc_id")))
 
 
 @_query("SELECT CASE n_nationkey % 4 WHEN 0 THEN 'Timeout' WHEN 1 THEN 'KeyError' WHEN 2 THEN 'WorkerDied' END error_type, CASE WHEN n_nationkey % 4 = 3 THEN n_name END cui FROM nation WHERE n_nationkey < 4 OR n_nationkey % 4 = 3")
@@ -471,6 +471,15 @@ def evaluation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.scope(m, ["finding"], types).select("doc_seq", "start", "cui")
 
 
+@_query(f"WITH {N.MENTIONS} SELECT doc_seq, start, \"end\", cui, negated FROM broad")
+def large_lexicon_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same notes against a lexicon of a million more terms, as a release has them."""
+    more = spark.range(1_000_000).select(F.concat(F.lit("zz"), F.conv("id", 10, 36), F.when(F.col("id") % 2 == 0, " syndrome").otherwise("")).alias("term"), F.concat(F.lit("C9"), "id").alias("cui"), F.lit("X").alias("preferred_name"), F.lit("DISORDER").alias("semantic_group"), F.array(F.lit("T047")).alias("semantic_types"))
+    docs = N.notes(spark, sf_dir)
+    found = with_defaults(lex.match_terms(docs, N.lexicon(spark, sf_dir).unionByName(more), "broad", 2)).drop("negated")
+    return assertions.simple_negation(docs, found).select("doc_seq", "start", "end", "cui", "negated")
+
+
 # --- mentions --------------------------------------------------------------------------------------------------------
 
 
