@@ -96,16 +96,16 @@ def _settle(table: pa.Table) -> pa.Table:
     return table.select(["source", "one", "size"]).append_column("flips", pa.array(flips)).filter(pa.array(flips > 0))
 
 
-def _settled(rounded: DataFrame, seed: int) -> DataFrame:
+def _settled(rounded: DataFrame, seed: int, files: int) -> DataFrame:
     """The rounded documents, as many on the other side as settle() wants: the first by a hash, in each partition and then of these."""
     rounded = rounded.select("*", (F.col("copies") > F.col("base")).alias("one"), F.spark_partition_id().alias("part"))
-    missed = written(rounded.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("miss")).select(F.col("source").alias("of"), "miss"), "missed")
+    missed = written(rounded.groupBy("source").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("miss")).select(F.col("source").alias("of"), "miss"), "missed", 1)
     sizes = rounded.join(missed, rounded["source"].eqNullSafe(missed["of"])).where("size < 2 * abs(miss)").groupBy("source", "one", "size").agg(F.count("*").alias("documents"), F.first("miss").alias("miss"))
-    flips = written(sizes.groupBy("source").applyInArrow(_settle, "source string, one boolean, size bigint, flips bigint"), "flips")
+    flips = written(sizes.groupBy("source").applyInArrow(_settle, "source string, one boolean, size bigint, flips bigint"), "flips", 1)
     flips = flips.select(*(F.col(c).alias(f"{c}_f") for c in ("source", "one", "size")), "flips")
     tagged = rounded.join(flips, rounded["source"].eqNullSafe(flips["source_f"]) & (rounded["one"] == flips["one_f"]) & (rounded["size"] == flips["size_f"]), "left")
     order = (F.xxhash64("doc_id", "mark", F.lit(seed)), "doc_id", "mark")
-    ranked = written(tagged.where("flips is not null").withColumn("place", F.row_number().over(Window.partitionBy("source", "one", "size", "part").orderBy(*order))), "ranked")
+    ranked = written(tagged.where("flips is not null").withColumn("place", F.row_number().over(Window.partitionBy("source", "one", "size", "part").orderBy(*order))), "ranked", files)
     first = ranked.where("place <= flips").withColumn("place", F.row_number().over(Window.partitionBy("source", "one", "size").orderBy(*order)))
     first = first.withColumn("copies", F.col("copies") + F.when(F.col("place") > F.col("flips"), 0).when(F.col("one"), -1).otherwise(1))
     columns = [c.split()[0] for c in _STATE.split(", ")]
@@ -132,7 +132,8 @@ def _rounding(seed: int, level: int, last: bool) -> Callable[[pa.Table], pa.Tabl
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3, leaf: int = 500, arity: int = 64, seed: int = 1) -> DataFrame:
     """doc_id, mark, source, size, source_size, target, copies and taken (words) of every document."""
     sizes = written(sized(docs, doc_id=doc_id, text=text, source=source), "sizes")
-    goal = written(targets(sizes, weights=weights, most=most), "targets")
+    files = max(4, sizes.count() // 100_000)  # of tables with a few numbers for each document
+    goal = written(targets(sizes, weights=weights, most=most), "targets", 1)
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     goal = goal.select(F.col("source").alias("of"), "source_size", "target", F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("p"), F.ceil(F.col("documents") / leaf).alias("leaves"))
     state = sizes.join(goal, sizes["source"].eqNullSafe(goal["of"])).withColumn("leaf", F.pmod(F.xxhash64("doc_id", "mark", "size"), F.col("leaves")))
@@ -143,14 +144,14 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     state = state.where("copies is null")
     while True:
         last = leaves <= 1
-        state = written(state.groupBy("source", "leaf").applyInArrow(_rounding(seed, level, last), _STATE), "mix")
+        state = written(state.groupBy("source", "leaf").applyInArrow(_rounding(seed, level, last), _STATE), "mix", files)
         decided = state.where("copies is not null")
         rounded = decided if rounded is None else rounded.unionByName(decided)
         if last:
             break
         state = state.where("copies is null").withColumn("leaf", F.expr(f"leaf div {arity}"))
         leaves, level = -(-leaves // arity), level + 1
-    out = whole.unionByName(_settled(rounded, seed))
+    out = whole.unionByName(_settled(rounded, seed, files))
     return out.select("doc_id", "mark", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

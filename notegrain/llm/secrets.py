@@ -115,18 +115,19 @@ class Ledger:
         else:
             known = known.join(blobs.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.collect_set("rule").alias("rules"))
             todo = blobs.join(known, "blob", "left").select("blob", "text", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>"))).alias("todo")).where("size(todo) > 0")
+        files = max(4, docs.count() // 100_000)  # rows here are a few numbers: not a file for each partition of the texts
         rule = F.element_at(F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key))), F.col("kind"))
-        _findings(todo, rules).select("blob", rule.alias("rule"), "kind", "start", "end").write.mode("append").parquet(f"{self.folder}/findings")
+        _findings(todo, rules).select("blob", rule.alias("rule"), "kind", "start", "end").repartition(files).write.mode("append").parquet(f"{self.folder}/findings")
         if path is not None:
-            self._add_versions(_blobs(docs, text, F.col(path).cast("string").alias("path")).where("path is not null").select("path", "blob").distinct())
+            self._add_versions(_blobs(docs, text, F.col(path).cast("string").alias("path")).where("path is not null").select("path", "blob").distinct(), files)
         before = self.seen()
         new = _blobs(docs, text).select("blob").distinct().select("blob", F.explode(keys).alias("rule"))
         new = new if before.isEmpty() else new.join(before, ["blob", "rule"], "left_anti")
         place = f"{self.folder}/seen/scan={uuid.uuid4().hex}"
-        new.write.parquet(place)
+        new.coalesce(files).write.parquet(place)
         return self.spark.read.schema("blob binary, rule string").parquet(place)
 
-    def _add_versions(self, now: DataFrame) -> None:
+    def _add_versions(self, now: DataFrame, files: int) -> None:
         """Append the (path, blob) pairs that are new, numbered on from the path's last version."""
         before = self.versions()
         if not before.isEmpty():
@@ -135,7 +136,7 @@ class Ledger:
         else:
             now = now.withColumn("last", F.lit(0))
         number = F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("path").orderBy("blob"))
-        now.select("path", number.alias("version"), "blob").write.mode("append").parquet(f"{self.folder}/versions")
+        now.select("path", number.alias("version"), "blob").coalesce(files).write.mode("append").parquet(f"{self.folder}/versions")
 
 
 def _blobs(docs: DataFrame, text: str, *more: Column) -> DataFrame:
