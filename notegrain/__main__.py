@@ -1,9 +1,10 @@
-"""Command line: extract, export, summarize, matrix, search, review, agreement, build-terminology, build-omop-vocab, evaluate, gold, inspect-manifest, info."""
+"""Command line: extract, export, summarize, matrix, search, review, agreement, build-terminology, build-omop-vocab, evaluate, gold, serve, mcp, inspect-manifest, info."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from datetime import UTC, datetime
 from functools import reduce
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import notegrain
 
-from . import reports, run as runs
-from .config import DEFAULTS, Config, load
+from . import reports, run as runs, server
+from .config import DEFAULTS, PREFIX, Config, load
 from .extractor import Extractor
 from .operators import cohort, evaluate, gold, omop
 from .operators.spans import group_filter
@@ -92,6 +93,10 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("b")
     c.add_argument("--out", required=True)
     c.add_argument("--disagreements")
+    c = sub.add_parser("serve", parents=[shared])
+    c.add_argument("--host", default="127.0.0.1")
+    c.add_argument("--port", type=int, default=8000)
+    sub.add_parser("mcp", parents=[shared])
     c = sub.add_parser("inspect-manifest")
     c.add_argument("path")
     sub.add_parser("info", parents=[shared])
@@ -171,7 +176,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def _run(args: argparse.Namespace) -> int:
     if args.command == "inspect-manifest":
-        print(Path(args.path).read_text())
+        print("\n".join(runs.manifest_summary(runs.read_manifest(args.path))))
         return 0
     if args.command == "info":
         print(json.dumps(_config(args).to_dict(), indent=2))
@@ -216,6 +221,14 @@ def _run(args: argparse.Namespace) -> int:
             Path(args.out).with_suffix(".md").write_text(text)
         print(text)
         return 0
+    if args.command in ("serve", "mcp"):
+        store = TerminologyStore.open(spark, config.terminology) if config.terminology else None
+        what = server.Service(spark, extractor(spark, config), spark.read.parquet(config.lexicon), store)
+        if args.command == "mcp":
+            server.stdio_server(what, sys.stdin, sys.stdout)
+        else:
+            server.http_server(what, args.host, args.port, os.environ.get(f"{PREFIX}TOKEN") or None).serve_forever()
+        return 0
     docs, errors = readers.read_documents(spark, args.inputs)
     if args.command in ("summarize", "matrix", "search", "review"):
         return _report(spark, args, config, docs, errors)

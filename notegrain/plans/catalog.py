@@ -471,11 +471,13 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where("documents > 1")
 
 
-@_query("""SELECT 250 AS docs, (SELECT count(*) FROM events) documents, (SELECT count(*) - count(DISTINCT user_id) FROM events) duplicates, (SELECT count(*) FROM events WHERE event_type = 'error') invalid_utf8""".replace("250 AS docs, ", ""))
+@_query("""WITH k AS (SELECT user_id, count(*) n FROM events GROUP BY 1), five AS (SELECT user_id FROM k WHERE n > 1 ORDER BY user_id LIMIT 5)
+SELECT (SELECT count(*) FROM events) documents, (SELECT count(*) - count(DISTINCT user_id) FROM events) duplicates, (SELECT count(*) FROM events WHERE event_type = 'error') invalid_utf8,
+(SELECT count(*) FROM lineitem) mentions, (SELECT count(*) FROM events WHERE event_type = 'error') errors, (SELECT string_agg(user_id, ',' ORDER BY user_id) FROM five) examples""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = N.read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_seq"), F.col("user_id").alias("doc_id"), (F.col("event_type") == "error").cast("int").alias("replaced"))
-    none = docs.where("false")
-    return cohort.run_counters(docs, none, none).select("documents", "duplicates", "invalid_utf8")
+    out = cohort.run_counters(docs, N.read(spark, sf_dir, "lineitem"), docs.where("replaced = 1"))
+    return out.select("documents", "duplicates", "invalid_utf8", "mentions", "errors", F.array_join("duplicate_examples", ",").alias("examples"))
 
 
 @_query("""WITH r AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 3 ELSE 0 END s, CASE o_orderkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 40 ELSE 9 END e, CASE o_orderkey % 3 WHEN 0 THEN 'C1' WHEN 1 THEN 'CUI-LESS' ELSE 'C0000001' END cui, CASE o_orderkey % 4 WHEN 0 THEN 'DISORDER' WHEN 1 THEN 'THING' END g, 'no ' || o_orderstatus || ' pain here' t FROM orders),

@@ -85,6 +85,22 @@ def run(spark: SparkSession, extractor: Extractor, docs: DataFrame, errors: Data
     return manifest
 
 
+def read_manifest(path: str) -> dict:
+    """The manifest at a path, or of the run folder there."""
+    place = Path(path)
+    return json.loads((place / "run_manifest.json" if place.is_dir() else place).read_text(encoding="utf-8"))
+
+
+def manifest_summary(manifest: dict) -> list[str]:
+    """A manifest in a few lines: the run, its settings that aren't defaults, its sessions and exports."""
+    from .config import DEFAULTS
+
+    plain = {k: list(v) if isinstance(v, tuple) else v for k, v in DEFAULTS.items()}
+    changed = {k: v for k, v in manifest.get("config", {}).items() if v != plain.get(k)}
+    sessions = [f"session {s['session']}: {s['processed']} processed, {s['skipped']} skipped, {s['errors']} errors, {s['documents_per_second']} documents a second" for s in manifest.get("sessions", [])]
+    return [f"run {manifest.get('run_id')}", *(f"{k} = {v}" for k, v in changed.items()), *sessions, *(f"export {e['format']}: {e['output']}" for e in manifest.get("exports", []))]
+
+
 def outstanding_errors(errors: DataFrame, results: DataFrame) -> DataFrame:
     """Errors of documents that no later session finished."""
     return errors.join(results.select(F.col("doc_id").alias("doc_key")).distinct(), "doc_key", "left_anti")

@@ -264,3 +264,8 @@ def test_sequential_ids_number_every_row_once(spark):
         assert falls.is_monotonic_increasing
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", keep)
+
+
+def test_manifest_in_a_few_lines(tmp_path):
+    (tmp_path / "run_manifest.json").write_text(json.dumps({"run_id": "r", "config": {"mode": "single:broad", "overlaps": "keep"}, "sessions": [{"session": 1, "processed": 2, "skipped": 0, "errors": 1, "documents_per_second": 3.5}], "exports": [{"format": "csv", "output": "o"}]}))
+    assert runs.manifest_summary(runs.read_manifest(str(tmp_path))) == ["run r", "mode = single:broad", "session 1: 2 processed, 0 skipped, 1 errors, 3.5 documents a second", "export csv: o"]
