@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as T
 from .storage import discard, written
@@ -323,17 +323,22 @@ def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     those that are left, one of each sequence of words stays, and all without words do.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = [c for c in docs.columns if c not in (doc_id, text)]
+
+    def least(rows: DataFrame, *keys: str) -> DataFrame:
+        """One row of each key, the first by the other columns: combined before the exchange, so a key that many rows share is no burden."""
+        row = F.struct(F.col(f"`{text}`"), *(F.col(f"`{c}`") for c in others), F.col(f"`{doc_id}`"))
+        return rows.groupBy(*keys).agg(F.min(row).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     named = docs.where(F.col(doc_id).isNotNull())
-    named = named.join(gone, named[doc_id].cast("long") == gone["__gone"], "left_anti")
-    named = named.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id, text).orderBy(*others, F.lit(1)))).where("__n = 1").drop("__n")
+    named = named.join(gone, named[doc_id].cast("long") == gone["__gone"], "left_anti").select(*columns)
     nameless = docs.where(F.col(doc_id).isNull()).withColumn("__content", content(text))
     taken = found.where("doc_id is not null and n_shingles > 0").select(F.col("content").alias("__taken")).distinct()
     nameless = nameless.join(taken, nameless["__content"] == taken["__taken"], "left_anti")
     words = F.col("__content") != F.unhex(F.sha2(F.lit(""), 256).substr(1, 32))
-    first = nameless.where(words).withColumn("__n", F.row_number().over(Window.partitionBy("__content").orderBy(F.col(text), *others))).where("__n = 1").drop("__n")
-    return named.unionByName(first.unionByName(nameless.where(~words)).drop("__content"))
+    return least(named, f"`{doc_id}`", f"`{text}`").unionByName(least(nameless.where(words), "__content")).unionByName(nameless.where(~words).drop("__content"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, bands: int = 48, rows: int = 5) -> DataFrame:
