@@ -6,6 +6,9 @@ bucket answers every block with a few bits for each of its keys, in the order as
 occurs in a third of all rows thus costs its bucket at most one entry for each block, and what goes
 back is bits.  Blocks recompute their keys when the answer arrives instead of storing them; all
 trips share one exchange of the documents, and a lost executor only costs a recomputation.
+
+A question is a row for each pair of block and bucket, so rows per byte grow until each key is a row of its own; on executors with
+memory to spare, larger blocks (a block takes about 80 times its bytes) put that off.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("trip", pa.int
 _ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("trip", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
 
 
-def block_count(docs: DataFrame, text: str) -> int:
+def block_count(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks for these documents: by bytes of text, and one for each shuffle partition at least."""
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
 
 
 def bucket_count(blocks: int) -> int:

@@ -52,7 +52,8 @@ class _Block:
         self.starts, self.ends, self.words = T.word_spans(self.buf, offsets)
         self.n = np.diff(self.words)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.codes = T.word_codes(self.buf, self.starts, self.ends)
+        self.number, self.distinct = T.numbered(self.buf, self.starts, self.ends)
+        self.codes = self.coded(0)
         able = (self.n >= window) & ~self.null  # documents with windows
         self.last = np.where(able, self.words[1:] - window, -1)  # last window start by document
         q = window - period + 1
@@ -62,7 +63,7 @@ class _Block:
         rank = at - self.words[self.doc]
         self.at = at[able[self.doc] & residues[rank % period] & (rank + q <= self.n[self.doc])]  # anchors
         h = T.mix(T.windows(self.codes, q)[self.at])
-        self.order, self.begin = T.groups(h)
+        self.order, self.begin = T.classes(h)
         self.keys = h[self.order[self.begin]] if len(h) else h
         size = np.diff(np.append(self.begin, len(h)))
         self.key_of = np.zeros(len(h), np.int64)
@@ -70,6 +71,11 @@ class _Block:
         d = self.ids[self.doc[self.at]][self.order]
         self.many = (np.minimum.reduceat(d, self.begin) != np.maximum.reduceat(d, self.begin)).astype(np.uint8) if len(h) else np.zeros(0, np.uint8)
 
+    def coded(self, salt: int) -> np.ndarray:
+        """The code of each word, found once for each distinct one."""
+        buf, at = T.texts(self.distinct)
+        return T.word_codes(buf, at[:-1], at[1:], salt)[self.number]
+
     def candidates(self, shared: np.ndarray) -> None:
         """Windows around shared anchors, grouped by their full hash; smallest document of each group."""
         at = self.at[shared[self.key_of].astype(bool)] if len(self.at) else self.at
@@ -80,8 +86,8 @@ class _Block:
         self.at2 = np.flatnonzero(T.cover(len(self.doc), low[ok], (high - low + 1)[ok]))
         h1 = T.mix(T.windows(self.codes, self.window)[self.at2], 1)
         # the second 64 bits come from other random numbers for the words' bytes and other steps
-        h2 = T.mix(T.windows(T.word_codes(self.buf, self.starts, self.ends, 7), self.window, 7)[self.at2], 2)
-        self.order2, self.begin2 = T.groups(h1, h2)
+        h2 = T.mix(T.windows(self.coded(7), self.window, 7)[self.at2], 2)
+        self.order2, self.begin2 = T.classes(h1, h2)
         self.key1, self.key2 = h1[self.order2[self.begin2]], h2[self.order2[self.begin2]]
         self.d2 = self.ids[self.doc[self.at2]]
         self.least = np.minimum.reduceat(self.d2[self.order2], self.begin2) if len(self.at2) else np.zeros(0, np.int64)
@@ -101,14 +107,14 @@ class _Block:
         return T.joined(self.buf, self.starts[word], self.ends[word], self.doc[word], len(self.n))
 
 
-def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 50, period: int = 21, keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 50, period: int = 21, keep_text: bool = True, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Remove words covered by a window that also starts in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept_text.
     """
     if not 1 <= period <= window:
         raise ValueError("period must lie between 1 and window")
-    n = B.block_count(docs, text)
+    n = B.block_count(docs, text, block_bytes)
     m = B.bucket_count(n)
     rows = B.in_blocks(docs, doc_id, text, n)
 
@@ -119,7 +125,7 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def shared(datas: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         keys = [np.frombuffer(x, np.uint32, k) for x, k in zip(datas, sizes, strict=True)]
         many = [np.unpackbits(np.frombuffer(x, np.uint8, offset=4 * k), count=k) for x, k in zip(datas, sizes, strict=True)]
-        order, begin = T.groups(np.concatenate(keys))
+        order, begin = T.classes(np.concatenate(keys))
         size = np.diff(np.append(begin, len(order)))
         yes = np.zeros(len(order), np.uint8)
         yes[order] = np.repeat((size > 1) | (np.maximum.reduceat(np.concatenate(many)[order], begin) > 0), size)
@@ -134,7 +140,7 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         parts = [np.frombuffer(x, np.uint64, 3 * k).reshape(3, k) for x, k in zip(datas, sizes, strict=True)]
         k1, k2, d = np.concatenate(parts, axis=1)
         d = d.view(np.int64)
-        order, begin = T.groups(k1, k2)
+        order, begin = T.classes(k1, k2)
         least = np.repeat(np.minimum.reduceat(d[order], begin), np.diff(np.append(begin, len(order))))
         yes = np.zeros(len(order), np.uint8)
         yes[order] = least < d[order]
