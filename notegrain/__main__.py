@@ -245,10 +245,8 @@ def _run(args: argparse.Namespace) -> int:
     mentions = ex.mentions(docs)
     counted = docs.agg(F.count("*").alias("n")).first()["n"]
     summary = {"version": notegrain.__version__, "exported_at": runs.now(), "format": kind, "inputs": args.inputs, "output": args.out, "documents": counted}
-    if kind == "parquet":
-        writers.write_parquet(mentions, args.out)
-    elif kind == "sqlite":
-        writers.write_sqlite(docs, mentions, args.out)
+    if kind in writers.WRITERS:
+        writers.WRITERS[kind](docs, mentions, args.out)
     elif kind == "jsonl":
         writers.write_one_jsonl(ex.results(docs), args.out)
     else:

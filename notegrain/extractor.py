@@ -15,6 +15,8 @@ from .operators import assertions, ensemble, lexicon as lex, spans
 from .operators.terminology import TerminologyStore
 
 Engine = Callable[[DataFrame], DataFrame]
+#: Given another engine's mentions and the documents, the mentions with their assertions; NULL where a span can't be assessed.
+Assessor = Callable[[DataFrame, DataFrame], DataFrame]
 #: Groups of the clinical engine.
 CLINICAL_GROUPS = ("ANATOMY", "DISORDER", "DRUG", "FINDING", "PROCEDURE")
 
@@ -125,13 +127,14 @@ def python_engine(make: Callable[[], Callable[[str, str], list[dict]]], schema:
 class Extractor:
     """Applies a configuration to documents (doc_seq, doc_id, text)."""
 
-    def __init__(self, config: Config, lexicon: DataFrame | None = None, *, engines: dict[str, Engine] | None = None, store: TerminologyStore | None = None):
+    def __init__(self, config: Config, lexicon: DataFrame | None = None, *, engines: dict[str, Engine] | None = None, store: TerminologyStore | None = None, assessor: Assessor | None = None):
         self.config = config
         if engines is None:
             if lexicon is None:
                 raise ValueError("a lexicon or engines are needed")
             engines = {ensemble.BROAD: broad_engine(lexicon, config.negation), ensemble.CLINICAL: clinical_engine(lexicon)}
         self.engines, self.store = engines, store
+        self.assessor = assessor or (lambda found, docs: assertions.assess_spans(found, docs, ("negated", "subject", "history_of", "uncertain")))
         if config.code_systems:
             if store is None:
                 raise ValueError("code_systems need a terminology store")
@@ -143,8 +146,7 @@ class Extractor:
             return with_defaults(self.engines[kind](docs))
         if kind == "hybrid":
             concepts = with_defaults(self.engines[ensemble.BROAD](docs))
-            given = assertions.assess_spans(concepts, docs, ("negated", "subject", "history_of", "uncertain"))
-            return ensemble.hybrid(concepts, given)
+            return ensemble.hybrid(concepts, self.assessor(concepts, docs))
         both = [with_defaults(self.engines[e](docs)) for e in (ensemble.CLINICAL, ensemble.BROAD)]
         combine = ensemble.union if kind == "union" else ensemble.consensus
         return _ordered(combine(*both, self.config.conflict_policy))

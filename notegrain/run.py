@@ -7,6 +7,7 @@ import json
 import os
 import secrets
 import time
+from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -55,8 +56,10 @@ def remaining(docs: DataFrame, finished: DataFrame) -> DataFrame:
     return keyed.join(finished.distinct(), ["doc_id", "content_sha256"], "left_anti").drop("content_sha256")
 
 
-def run(spark: SparkSession, extractor: Extractor, docs: DataFrame, errors: DataFrame, folder: str, inputs: list[str] | None = None) -> dict:
-    """Process what remains, append results and errors of this session, and write the manifest. inputs: what the run was given; a resumed run must name all of them."""
+def run(spark: SparkSession, extractor: Extractor, docs: DataFrame, errors: DataFrame, folder: str, inputs: list[str] | None = None, progress: Callable[[str, dict], None] | None = None) -> dict:
+    """Process what remains, append results and errors of this session, and write the manifest. inputs: what the run was given; a resumed run must name all of them. progress: called with
+    a step's name and its counts when it has ended; the manifest is written after each step too, so a session cut short leaves what it knew."""
+    told = progress or (lambda step, counts: None)
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     manifest_path = out / "run_manifest.json"
@@ -74,12 +77,17 @@ def run(spark: SparkSession, extractor: Extractor, docs: DataFrame, errors: Data
             if lost := missing_inputs(earlier, inputs):
                 raise ValueError(f"earlier inputs that this session doesn't name: {', '.join(lost)}")
             manifest["inputs"] = list(inputs)
+        as_known = manifest | {"open_session": {"session": session, "started": started, "extracted_at": now()}}
+        write_json(as_known, manifest_path)
+        told("extracted", as_known["open_session"])
         errors.withColumn("session", F.lit(session)).write.mode("append").json(str(out / "errors"))
         kept = spark.read.schema("doc_id string, mentions array<struct<start:int>>").json(str(out / "results" / f"session={session}"))
         counted = run_counters(docs, kept.select(F.explode("mentions")), errors).first().asDict()
         written = kept.count()
+        types = {r["error_type"]: r["n"] for r in errors.groupBy("error_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "error_type").limit(20).collect()}  # the commonest, as the manifest shows them
         seconds = time.monotonic() - began
-        manifest["sessions"].append({"session": session, "started": started, "ended": now(), "processed": written, "skipped": counted["documents"] - written, "seconds": round(seconds, 2), "documents_per_second": round(written / max(seconds, 1e-9), 2), **counted})
+        manifest["sessions"].append({"session": session, "started": started, "ended": now(), "processed": written, "skipped": counted["documents"] - written, "seconds": round(seconds, 2), "documents_per_second": round(written / max(seconds, 1e-9), 2), "error_types": types, **counted})
+        told("counted", manifest["sessions"][-1])
         manifest["config"] = config
         write_json(manifest, manifest_path)
     return manifest

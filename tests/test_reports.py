@@ -172,3 +172,28 @@ def test_report_commands(spark, tmp_path, capsys):
     assert list(csv.DictReader((tmp_path / "d.csv").open()))[0]["differs"] == "cui"
     assert cli.main(["export", str(tmp_path / "n"), "--lexicon", str(tmp_path / "lex"), "--out", str(tmp_path / "o.parquet")]) == 0
     assert json.loads((tmp_path / "o.parquet.export.json").read_text())["documents"] == 2
+
+
+def test_hooks(spark, tmp_path):
+    """An assessor of one's own, a writer of one's own, and progress."""
+    from notegrain.config import Config
+    from notegrain.extractor import Extractor
+    from notegrain.sinks import writers
+
+    lexicon = spark.createDataFrame([("pain", "C1", "Pain", "FINDING", ["T184"])], "term string, cui string, preferred_name string, semantic_group string, semantic_types array<string>")
+    docs = docs_of(spark, "no pain").withColumn("replaced", F.lit(0))
+    ex = Extractor(Config(mode="ensemble:hybrid"), lexicon, assessor=lambda found, _: found.withColumn("negated", F.lit(False)).withColumn("generic", F.lit(True)))
+    (m,) = ex.mentions(docs).collect()
+    assert (m.negated, m.generic, m.engine_assertions["broad"].negated) == (False, True, True)
+    try:
+        writers.register("tsv", lambda docs, mentions, path: mentions.select("cui").write.csv(path, sep="\t"), ".tsv")
+        assert writers.format_for("x.tsv") == "tsv"
+        writers.WRITERS["tsv"](docs, ex.mentions(docs), str(tmp_path / "x.tsv"))
+        assert [r._c0 for r in spark.read.csv(str(tmp_path / "x.tsv")).collect()] == ["C1"]
+    finally:
+        writers.WRITERS.pop("tsv")
+        writers.SUFFIXES.pop(".tsv")
+    steps = []
+    errors = spark.createDataFrame([("k", "read", "KeyError"), ("l", "read", "KeyError")], "doc_key string, stage string, error_type string")
+    manifest = runs.run(spark, Extractor(Config(), lexicon), docs, errors, str(tmp_path / "run"), progress=lambda step, counts: steps.append(step))
+    assert steps == ["extracted", "counted"] and manifest["sessions"][0]["error_types"] == {"KeyError": 2} and "open_session" not in json.loads((tmp_path / "run/run_manifest.json").read_text())
