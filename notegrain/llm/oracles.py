@@ -18,6 +18,22 @@ kept AS (SELECT doc_id, count(*) FILTER (g) n, string_agg(x, ' ' ORDER BY p) FIL
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) n_words, coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """.replace("at AS", "places AS").replace("FROM at)", "FROM places)")
 
+#: Bytes as pairs of hexadecimal digits, so that every string of 50 is a slice of 100 digits.
+SUFFIX_DEDUP = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) i FROM t WHERE length(h) >= 100),
+win AS (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 100)) k FROM places),
+firsts AS (SELECT k, min(doc_id) d FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i FROM win JOIN firsts USING (k) WHERE d < doc_id),
+marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END new FROM gone),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) run FROM marked),
+runs AS (SELECT doc_id, run, min(i) s, max(i) + 50 e FROM numbered GROUP BY 1, 2),
+gaps AS (SELECT doc_id, run, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) before FROM runs),
+cut AS (SELECT g.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) kept, max(e) last, sum(e - s) n, count(*) c FROM gaps g JOIN t ON t.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) n_bytes, CAST(coalesce(n, 0) AS BIGINT) n_removed, CAST(coalesce(c, 0) AS BIGINT) n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) kept_sha256 FROM t LEFT JOIN cut ON cut.doc_id = t.doc_id
+"""
+
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) i FROM w WHERE len(ws) > 0)),
@@ -45,4 +61,4 @@ m AS (SELECT doc_id, text, CAST(len(ws) AS BIGINT) n_words, CAST(coalesce(list_s
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_BASE}) base_failed, NOT ({_RULES}) kept FROM m
 """
 
-ORACLES = {"op1_substring_dedup": SUBSTRING_DEDUP, "op2_secret_scan": secrets.oracle_sql(), "op8_near_duplicates": NEAR_DUPLICATES, "op10_quality_rules": QUALITY}
+ORACLES = {"op1_substring_dedup": SUBSTRING_DEDUP, "op2_secret_scan": secrets.oracle_sql(), "op4_suffix_dedup": SUFFIX_DEDUP, "op8_near_duplicates": NEAR_DUPLICATES, "op10_quality_rules": QUALITY}
