@@ -120,3 +120,36 @@ def test_snippet(spark):
     rows = [(text, s, s + n) for s, n in ((0, 3), (50, 7), (97, 3), (40, 30), (10, 1))]
     df = spark.createDataFrame(rows, "t string, start int, end int")
     assert [r[0] for r in df.select(E.snippet("t", "start", "end", 20)).collect()] == [want(s, e, 20) for _, s, e in rows]
+
+
+def test_headings_far_from_their_colon(spark):
+    text = "HPI" + " " * 70 + ":\nnot a heading here: x\nPLAN:"
+    got = {text[r.start : r.end] for r in spans.headings(docs(spark, text)).collect()}
+    assert got == {"HPI", "PLAN"}
+
+
+def test_offsets_of_many_pieces(spark):
+    """Beyond one chunk, with characters of several bytes, and the empty array."""
+    from notegrain.functions.expressions import running_offsets
+
+    pieces = [["é" * (k % 4) for k in range(2500)], [], ["ab"]]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pieces)], "k int, pieces array<string>")
+    for gap in (0, 1):
+        got = {r.k: r.at for r in df.select("k", F.expr(running_offsets("pieces", gap)).alias("at")).collect()}
+        for k, p in enumerate(pieces):
+            want, at = [], 0
+            for x in p:
+                want.append(at)
+                at += len(x) + gap
+            assert got[k] == want
+
+
+def test_terms_of_a_long_text(spark):
+    from notegrain.operators import lexicon as lex
+
+    words = [f"w{k % 977}" for k in range(60_000)]
+    words[30_000:30_002] = ["red", "gear"]
+    text = "é " + " ".join(words)
+    terms = spark.createDataFrame([("red gear", "C1", "n", "g"), ("gear", "C2", "n", "g"), ("red gear", "C1", "m", "g")], "term string, cui string, preferred_name string, semantic_group string")
+    found = lex.match_terms(docs(spark, text, "", "gear"), terms, "x", 2).orderBy("doc_seq", "ord").collect()
+    assert [(r.doc_seq, r.ord, text[r.start : r.end] if r.doc_seq == 0 else r.text, r.cui) for r in found] == [(0, 0, "red gear", "C1"), (0, 1, "gear", "C2"), (2, 0, "gear", "C2")]
