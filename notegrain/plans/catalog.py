@@ -420,11 +420,8 @@ def note_nlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = N.notes(spark, sf_dir)
     m = _store(spark, sf_dir).attach(N.clinical(spark, sf_dir))
     ids = docs.select("doc_id", F.col("doc_seq").alias("note_id"))
-    rows = omop.note_nlp(m, docs, ids, _lookup(spark, sf_dir), started=datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC))
-    # the table's snippets have 250 characters; a narrower one, so that the centring shows
-    wide = m.join(docs.select("doc_seq", F.col("text").alias("note")), "doc_seq").select(F.col("doc_seq").alias("note_id"), F.col("start").cast("string").alias("offset"), "cui", E.snippet("note", "start", "end", 60).alias("s"))
-    out = rows.withColumn("cui", F.get_json_object("term_modifiers", "$.cui")).drop("snippet").join(wide, ["note_id", "offset", "cui"]).withColumnRenamed("s", "snippet").drop("cui")
-    return out.select(*omop.NOTE_NLP)
+    # the table's snippets have 250 characters; narrower ones, so that the centring shows
+    return omop.note_nlp(m, docs, ids, _lookup(spark, sf_dir), started=datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC), width=60)
 
 
 @_query("SELECT o_orderkey, CAST('0x' || substring('01234567', CAST(strpos('0123456789abcdef', left(h, 1)) - 1 AS INTEGER) % 8 + 1, 1) || substring(h, 2, 15) AS BIGINT) id FROM (SELECT o_orderkey, sha256(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus) h FROM orders)")

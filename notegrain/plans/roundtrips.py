@@ -290,9 +290,16 @@ def _release(spark: SparkSession, sf_dir: str) -> str:
     return place
 
 
+_stores: dict[tuple[str, str], str] = {}  # built once in an application for each set of tables
+
+
 def _built(spark: SparkSession, sf_dir: str) -> term.TerminologyStore:
-    place = _release(spark, sf_dir)
-    return term.build(spark, f"{place}/MRCONSO.RRF", f"{place}/MRRANK.RRF", f"{place}/store", mrrel=f"{place}/MRREL.RRF")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        place = _release(spark, sf_dir)
+        term.build(spark, f"{place}/MRCONSO.RRF", f"{place}/MRRANK.RRF", f"{place}/store", mrrel=f"{place}/MRREL.RRF")
+        _stores[key] = f"{place}/store"
+    return term.TerminologyStore.open(spark, _stores[key])
 
 
 _TREE = """icd AS (SELECT p_partkey p, p_partkey // 4 i FROM part WHERE p_partkey % 4 = 3), up AS (SELECT p child, i // 3 * 4 + 3 parent FROM icd WHERE i > 0),

@@ -122,8 +122,12 @@ def _listed(spark: SparkSession, paths: list[str], args: list[str]) -> DataFrame
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Is a folder at this path? Nothing there is an error; a pattern names files."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).getFileStatus(target).isDirectory()
+    found = target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).globStatus(target)
+    if not found:
+        raise FileNotFoundError(f"nothing at {path}")
+    return len(found) == 1 and found[0].isDirectory()
 
 
 def read_documents(spark: SparkSession, paths: list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:

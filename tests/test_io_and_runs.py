@@ -248,6 +248,8 @@ def test_a_folder_and_a_named_file(spark, tmp_path):
     assert found(str(folder)) == ["A", "B"]
     assert found(str(tmp_path / "x.md"), str(folder), str(folder / "c.md")) == ["X", "A", "C", "B"]
     assert found(str(folder), str(folder / "a.TXT"), str(tmp_path / "x.md")) == ["A", "B", "X"]
+    with pytest.raises(FileNotFoundError):
+        readers.read_documents(spark, [str(tmp_path / "none.txt")])
 
 
 def test_sequential_ids_number_every_row_once(spark):
