@@ -9,13 +9,13 @@ import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions.expressions import context, slice_text
 from .model import ASSERTIONS
 from .operators import cohort, evaluate
 from .operators.spans import group_filter
+from .scratch import exists
 
 # What a summary calls the semantic groups, in reading order, and the statuses.
 GROUP_TITLES = {"DISORDER": "Problems", "FINDING": "Findings", "DRUG": "Medications", "PROCEDURE": "Procedures", "LAB": "Labs", "ANATOMY": "Anatomy"}
@@ -133,12 +133,9 @@ class Searches:
 
     def history(self) -> DataFrame:
         """All searches that were saved whole, oldest first."""
-        try:
-            return self.table("search").orderBy("ran_at")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not exists(self.spark, f"{self.folder}/search"):
             return self.spark.createDataFrame([], "search_id string, ran_at string, query string")
+        return self.table("search").orderBy("ran_at")
 
 
 def disagreements(docs: DataFrame, a: DataFrame, b: DataFrame, names: tuple[str, str] = ("a", "b"), attributes: Sequence[str] = tuple(ASSERTIONS)) -> DataFrame:

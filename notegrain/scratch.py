@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is anything at this path, in whatever store it names?"""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(target))
+
+
 def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here, and a lost executor loses nothing. files: at most so many, for small rows."""
     spark = df.sparkSession
