@@ -21,10 +21,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .storage import shared_folder
+from .storage import exists, shared_folder
 
 
 @dataclass(frozen=True)
@@ -85,12 +84,9 @@ class Ledger:
         self.folder = folder or f"{shared_folder(spark).rstrip('/')}/notegrain/ledger-{uuid.uuid4().hex}"
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not exists(self.spark, f"{self.folder}/{name}"):
             return self.spark.range(0).selectExpr(*(f"cast(null as {kind}) `{column}`" for column, kind in (c.split() for c in schema.split(", "))))
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
 
     def seen(self) -> DataFrame:
         return self._table("seen", "blob binary, rule string")

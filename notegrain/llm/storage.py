@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from ..scratch import discard as discard, shared_folder as shared_folder, written as written
+from ..scratch import discard as discard, exists as exists, shared_folder as shared_folder, written as written
