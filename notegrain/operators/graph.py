@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..scratch import written
+from ..scratch import discard, written
 
 
 def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
     if max_depth is not None and max_depth < 1:
         raise ValueError(f"max_depth must be 1 or more, or None: {max_depth}")
     frontier = written(starts.select("sab", "origin", "node").distinct(), "closure")
-    seen, hops = [frontier.withColumn("hops", F.lit(0))], 0
+    tables, seen, hops = [frontier], [frontier.withColumn("hops", F.lit(0))], 0
     while (max_depth is None or hops < max_depth) and not frontier.isEmpty():
         hops += 1
         known = seen[0]
@@ -27,10 +27,13 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
             known = known.unionByName(s)
         step = frontier.join(edges, ["sab", "node"]).select("sab", "origin", F.col("next").alias("node")).distinct()
         frontier = written(step.join(known.select("sab", "origin", "node"), ["sab", "origin", "node"], "left_anti"), "closure")
+        tables.append(frontier)
         seen.append(frontier.withColumn("hops", F.lit(hops)))
     out = seen[0]
     for s in seen[1:]:
         out = out.unionByName(s)
+    out = written(out, "closure")
+    discard(*tables)
     return out
 
 
