@@ -6,10 +6,11 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from notegrain.llm import minhash, substring_dedup as words, suffix_dedup as suffixes
+from notegrain.llm import blocks, minhash, substring_dedup as words, suffix_dedup as suffixes
 
 
 def brute(items: dict[int, list], length: int):
@@ -106,3 +107,26 @@ def test_refinement_numbers_equal_strings_alike(texts, length):
 @given(st.lists(st.text("a\0", max_size=150), min_size=1, max_size=6), st.sampled_from([7, 8, 9, 16, 50, 56, 57]))
 def test_refinement_of_repeats_and_zero_bytes(texts, length):
     test_refinement_numbers_equal_strings_alike.hypothesis.inner_test(texts, length)
+
+
+@pytest.mark.parametrize("size", range(20))
+def test_a_block_of_few_bytes(size):
+    block = suffixes._Block(pa.table({"doc_id": pa.array([1], pa.int64()), "text": ["x" * size]}), 50, 26)
+    assert len(block.keys) == 0
+
+
+def test_documents_of_a_block_in_another_order(spark, monkeypatch):
+    """Every reading of a block's documents may meet them in another order; the answers must reach the same windows."""
+    one = " ".join(f"{k * k} quick brown foxes" for k in range(12))
+    texts = [one, one[:130] + "#" + one[131:], "? " + one[40:190], one[:70] + one[90:], "a" * 80 + one[:60], "b" + "a" * 90, one[100:] + one[:100]]
+    docs = spark.createDataFrame([(d + 1, x) for d, x in enumerate(texts)], "doc_id long, text string")
+    gone = brute({d + 1: list(x.encode()) for d, x in enumerate(texts)}, 50)
+    asks, finish = blocks.asks, blocks.finish
+    turned = lambda f: lambda block, table, *answers: f(block, table.take(list(range(len(table)))[::-1]), *answers)
+    for hot in (2000, 1):
+        turns = iter([False, True, False])
+        monkeypatch.setattr(blocks, "block_count", lambda *_: 1)
+        monkeypatch.setattr(blocks, "asks", lambda rows, f, answers=None: asks(rows, turned(f) if next(turns) else f, answers))
+        monkeypatch.setattr(blocks, "finish", lambda rows, f, answers, schema: finish(rows, turned(f), answers, schema))
+        found = {r.doc_id: bytes(r.kept) for r in suffixes.suffix_dedup(docs, hot=hot).collect()}
+        assert found == {d + 1: bytes(c for c, g in zip(x.encode(), gone[d + 1], strict=True) if not g) for d, x in enumerate(texts)}
