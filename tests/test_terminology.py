@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from notegrain.operators import graph, omop, terminology as term
 
@@ -102,3 +103,11 @@ def test_omop_lookup(spark, tmp_path):
 def test_note_ids_from_keys(spark):
     docs = spark.createDataFrame([(" 12 ",), ("x1",), ("٣",), ("99999999999999999999",)], "doc_id string")
     assert [tuple(r) for r in omop.note_id_from_key(docs).collect()] == [(" 12 ", 12)]
+
+
+def test_columns_made_of_codes_once_for_each_concept(spark):
+    codes = spark.createDataFrame([("C1", "ICD10CM", "a", "PT", "x", True), ("C1", "LNC", "b", "PT", "y", False)], "cui string, sab string, code string, tty string, str string, is_preferred boolean")
+    mentions = spark.createDataFrame([(1, "C1"), (2, "C1"), (3, "C2")], "doc_seq long, cui string")
+    out = term.TerminologyStore(codes).attach(mentions, of_codes=lambda c: {"listed": F.array_join(F.transform(c, lambda x: x["code"]), " "), "n": F.size(c)})
+    assert sorted(map(tuple, out.select("doc_seq", "cui", "listed", "n").collect())) == [(1, "C1", "a b", 2), (2, "C1", "a b", 2), (3, "C2", "", 0)]
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()  # made before the join, not for each mention
