@@ -135,26 +135,29 @@ def _signed(batch: pa.RecordBatch, words: int, bands: int, rows: int) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "content", "bands", "sketch"])
 
 
+def _are_stars(edges: DataFrame, files: int | None) -> bool:
+    """Does every edge (a, b), a > b, lead to the end, and each node to one?"""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(False).alias("end")).unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("end")))
+    seen = ends.groupBy("node").agg(F.min("to").alias("least"), F.max("to").alias("most"), F.max("end").alias("end")).where("least < most or (least is not null and end)").select("node")
+    return not (seen if files is None else seen.coalesce(files)).agg(F.count("*")).first()[0]
+
+
 def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link (a, b).
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until nothing changes.
+    Alternating large-star and small-star rounds, each half written to the shared folder, until all are stars. Neither half makes more rows than it
+    reads, so repeats are only dropped from the result.
     """
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", files)
-    mark = None
-    while True:
+    while not _are_stars(now, files):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large", files)
+        discard(now)
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        before, now = now, written(small, "links", files)
-        discard(before)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or not seen[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        mark = seen
+        now = written(down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))), "links", files)
+        discard(down)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
 def intersections(ids: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -159,6 +159,21 @@ def test_components_of_paths_and_stars(spark):
     assert minhash.components(df.where("false")).count() == 0
 
 
+def test_components_stop_at_stars_and_shuffle_no_repeats(spark, monkeypatch):
+    """One table for stars, and rounds of two tables for the rest, none with more rows than the links."""
+    made = []
+    monkeypatch.setattr(minhash, "written", lambda df, what, files=None, f=minhash.written: made.append(f(df, what, files)) or made[-1])
+    monkeypatch.setattr(minhash, "discard", lambda *tables: None)
+    stars = [(100, k) for k in range(101, 140)] + [(k, 5) for k in range(6, 9)] + [(101, 100)]
+    found = minhash.components(spark.createDataFrame(stars, "a long, b long"), 2)
+    assert {tuple(r) for r in found.collect()} == {(k, 100) for k in range(100, 140)} | {(k, 5) for k in range(5, 9)} and len(made) == 1
+    made.clear()
+    edges = [(a, b) for a in range(12) for b in range(12, 24)] + [(23, 30), (30, 31), (50, 51), (52, 51), (52, 53)]  # smaller nodes all share their neighbours
+    found = minhash.components(spark.createDataFrame(edges, "a long, b long"), 2)
+    assert sorted(map(tuple, found.collect())) == sorted([(k, 0) for k in [*range(24), 30, 31]] + [(k, 50) for k in range(50, 54)])
+    assert len(made) > 1 and max(x.count() for x in made) <= len(edges)
+
+
 KINDS = (("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 1, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))
 
 

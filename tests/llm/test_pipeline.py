@@ -11,6 +11,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from notegrain import scratch
 from notegrain.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -134,3 +135,15 @@ def test_queries_run_on_the_small_tables(spark):
         if name in queries.ORACLES:
             want = db.sql(queries.ORACLES[name])
             assert rows == sorted(want.select(*sorted(want.columns)).fetchall(), key=repr)
+
+
+def test_written_tables_give_the_drivers_free_memory_back(spark, monkeypatch):
+    """The driver's JVM has the command, each written table calls it, and without it nothing fails."""
+    given = []
+    monkeypatch.setattr(scratch, "release", lambda s, f=scratch.release: given.append(f(s)))
+    assert scratch.written(spark.range(5), "few").count() == 5
+    version = int(spark._jvm.java.lang.System.getProperty("java.specification.version"))
+    assert len(given) == 1 and (given[0] or version < 17)
+    monkeypatch.setattr(scratch, "COMMAND", "noSuchCommand")
+    assert scratch.written(spark.range(5), "few").count() == 5
+    assert given[1:] == [False]
