@@ -111,3 +111,30 @@ def test_columns_made_of_codes_once_for_each_concept(spark):
     out = term.TerminologyStore(codes).attach(mentions, of_codes=lambda c: {"listed": F.array_join(F.transform(c, lambda x: x["code"]), " "), "n": F.size(c)})
     assert sorted(map(tuple, out.select("doc_seq", "cui", "listed", "n").collect())) == [(1, "C1", "a b", 2), (2, "C1", "a b", 2), (3, "C2", "", 0)]
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()  # made before the join, not for each mention
+
+
+def test_long_strings_of_codes_once_in_a_file(spark, tmp_path):
+    conf, name = spark.sparkContext._jsc.hadoopConfiguration(), "parquet.dictionary.page.size"
+    conf.setInt(name, 1 << 14)
+    try:
+        # 40 concepts with some 2,600 characters of codes, 100 with 130, one with more than a dictionary holds, and some without
+        codes = spark.range(40 * 40 + 100 * 2 + 400).selectExpr("case when id < 1600 then concat('L', id % 40) when id < 1800 then concat('S', id % 100) else 'X' end cui", "'LNC' sab", "sha2(cast(id as string), 256) code", "'PT' tty", "'x' str", "true is_preferred")
+        mentions = spark.range(15000).selectExpr("id doc_seq", "case when id % 50 < 20 then concat('L', id % 7 * id % 40) when id % 50 < 40 then concat('S', id % 100) when id = 49 then 'X' when id % 50 = 41 then null else 'N' end cui")
+        out = term.TerminologyStore(codes).attach(mentions, of_codes=lambda c: {"listed": F.array_join(F.transform(c, lambda x: x["code"]), " "), "n": F.size(c)})
+        out.write.option("compression", "none").parquet(str(tmp_path / "out"))
+        back = spark.read.parquet(str(tmp_path / "out"))
+        want = codes.groupBy("cui").agg(F.array_join(F.array_sort(F.collect_list("code")), " ").alias("listed"), F.count("*").alias("n"))
+        want = mentions.join(want, "cui", "left").select("doc_seq", "cui", F.coalesce("listed", F.lit("")).alias("listed"), F.coalesce("n", F.lit(0)).alias("n"))
+        assert sorted(map(tuple, back.select("doc_seq", F.coalesce("cui", F.lit("")), F.md5("listed"), "n").collect())) == sorted(map(tuple, want.select("doc_seq", F.coalesce("cui", F.lit("")), F.md5("listed"), "n").collect()))
+        # the rows hold 15 million characters of codes, their concepts some 140,000
+        assert back.agg(F.sum(F.length("listed"))).first()[0] > 10_000_000
+        assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1_000_000
+    finally:
+        conf.unset(name)
+
+
+def test_strings_that_fit_one_dictionary_move_no_mention(spark):
+    codes = spark.createDataFrame([("C1", "LNC", "a", "PT", "x", True)], "cui string, sab string, code string, tty string, str string, is_preferred boolean")
+    mentions = spark.createDataFrame([(1, "C1")], "doc_seq long, cui string")
+    assert term.dealt_by_strings(mentions, codes.select("cui", "code")) is mentions
+    assert term.dealt_by_strings(mentions, codes.select("cui", "code").where("false")) is mentions
